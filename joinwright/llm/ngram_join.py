@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles. Two sets link when 100 *
 |union|. The join is exact over all sets:
 
 1. One scan reduces each document to its size, a 64-bit class key of the whole set (equal sets are one
-   class, so copies are never paired) and a 1,024-bit parity bitmap. It also counts shingles that are
+   class, so copies are never paired) and a parity bitmap of two to four bits a shingle. It also counts shingles that are
    frequent within blocks, to order them last. The order only serves speed; any common order is exact.
 2. A second scan emits each set's prefix under that order: two linked sets share a shingle of their prefixes.
    Entries (shingle, class, size, position) meet in hash buckets. Within a list, entries form blocks by
@@ -35,6 +35,7 @@ from .ship import ship
 from .storage import bucket_count, saved, small_or_shuffled
 from .words import blocks, constants, distinct, find_words, mix, packed, shingles
 
+#: Least bits of a bitmap; larger sets have at least twice as many bits as shingles.
 BITS = 1024
 #: All pairs of a list are looked at up to this length; longer lists go by steps 2 and 4.
 LIST = 128
@@ -66,18 +67,17 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield at, to, held, bounds, cls
 
 
-def _parity(held: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of BITS / 8 bytes a set: each shingle flips one bit."""
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    flips = np.bincount(row * BITS + (held & np.uint64(BITS - 1)).astype("i8"), minlength=n * BITS)
-    return np.packbits((flips & 1).astype("u1").reshape(n, BITS), axis=1)
+def _parity(held: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips one bit; its length is a power of two that depends on the size alone."""
+    bits = max(BITS, 1 << int(2 * len(held) - 1).bit_length()) if len(held) else BITS
+    flips = np.bincount((held & np.uint64(bits - 1)).astype("i8"), minlength=bits)
+    return np.packbits((flips & 1).astype("u1"), bitorder="little").tobytes()
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, to, held, bounds, cls in _sets(batch.column(1)):
-            bits = _parity(held, bounds)
+            bits = [_parity(held[bounds[i] : bounds[i + 1]]) for i in range(to - at)]
             _, first, _ = distinct(cls)
             parts = [held[bounds[i] : bounds[i + 1]] for i in first]
             tokens = np.sort(np.concatenate(parts)) if parts else held
@@ -91,7 +91,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.concat_arrays([batch.column(0).slice(at, n), pa.nulls(1, batch.column(0).type)]),
                     pa.array([*np.diff(bounds).tolist(), None], pa.int64()),
                     pa.array([*cls.view("i8").tolist(), None], pa.int64()),
-                    pa.array([*(b.tobytes() for b in bits), None], pa.binary()),
+                    pa.array([*bits, None], pa.binary()),
                     pa.array([None] * n + [counts.tobytes()], pa.binary()),
                 ],
                 names=["id", "n_shingles", "cls", "bits", "often"],
@@ -212,12 +212,20 @@ def _unpack_entries(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[k]).astype("i8") if k in ("size", "pos") else np.ascontiguousarray(e[k]).view("i8")) for k in ("token", "cls", "size", "pos")], names=["token", "cls", "size", "pos"])
 
 
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded, which keeps parities."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _close(batches):
     """Pairs whose bitmaps allow a link."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u8").reshape(-1, BITS // 64) for k in ("x", "y"))
-        differ = np.bitwise_count(x ^ y).sum(axis=1).astype("i8")
         n, m = (batch.column(k).to_numpy() for k in ("n", "m"))
+        differ = np.fromiter((_differ(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)), "i8", len(n))
         # |x Δ y| = n + m - 2 overlap, and each shingle of it flips one bit
         ok = (differ <= n + m - 2 * _needed(n, m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
         yield batch.filter(pa.array(ok)).select(["a", "b", "n", "m"])
