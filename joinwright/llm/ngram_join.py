@@ -10,11 +10,11 @@ A document's set holds its distinct five-word shingles. Two sets link when 100 *
    Entries (shingle, class, size, position) meet in hash buckets. Within a list, entries form blocks by
    position; a pair of blocks whose positions and sizes cannot give the needed overlap is skipped whole.
    Lists longer than LIST, and all frequent shingles, first yield only pairs of each class with the
-   list's least class.
+   list's leaders: of each band of sizes, the class that is in the most such lists.
 3. Pairs whose bitmaps differ in more bits than linked sets can differ are dropped. The others are verified on
-   full sets: first each class with the least class it is paired with (its leader), then whatever is not
-   yet connected. A member's overlap with another set is bounded by its leader's computed overlap plus
-   the shingles the leader lacks; pairs that this rules out are never read.
+   full sets: in two rounds each class with the class it shares most lists with (its leader) among those
+   not yet connected to it, then whatever is still apart. A member's overlap with another set is bounded by
+   its leader's computed overlap plus the shingles the leader lacks; pairs that this rules out are never read.
 4. Long lists whose classes are all connected by then are done: nothing in them can change the answer. In the
    others, classes outside the list's largest component meet the rest, and their pairs are verified likewise.
 
@@ -38,9 +38,9 @@ from .words import blocks, constants, distinct, find_words, mix, packed, shingle
 #: Least bits of a bitmap; larger sets have at least twice as many bits as shingles.
 BITS = 1024
 #: All pairs of a list are looked at up to this length; longer lists go by steps 2 and 4.
-LIST = 128
+LIST = 16
 #: Entries in a block of an index list.
-POSITIONS = 16
+POSITIONS = 4
 #: A shingle that this many different sets of one block of text share counts as frequent.
 FREQUENT_IN_BLOCK = 6
 #: Bound of the broadcast order: the most frequent shingles, eight bytes each. It serves speed only.
@@ -106,7 +106,7 @@ def _frequent_rows(batches):
 
 
 def _prefixes(buckets: int, frequent):
-    """Emits buckets of ENTRY blobs; entries of frequent shingles go to bucket -1."""
+    """Emits buckets of ENTRY blobs, by shingle; entries of frequent shingles go by class to buckets under 0, so that none is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = frequent.value  # sorted tokens, and the rank of each by ascending count
@@ -132,7 +132,9 @@ def _prefixes(buckets: int, frequent):
                     found.append((e, rank[:take] > 0))
                 if found:
                     e = np.concatenate([x for x, _ in found])
-                    bucket = np.where(np.concatenate([x for _, x in found]), -1, (mix(e["token"]) % np.uint64(buckets)).astype("i8"))
+                    hot = np.concatenate([x for _, x in found])
+                    bucket = (mix(np.where(hot, e["cls"], e["token"])) % np.uint64(buckets)).astype("i8")
+                    bucket = np.where(hot, -1 - bucket, bucket)
                     rows = list(packed(bucket, e))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
@@ -147,8 +149,8 @@ def _cross(a0, an, b0, bn):
     return np.repeat(a0, size) + at // width, np.repeat(b0, size) + at % width
 
 
-def list_pairs(e: np.ndarray) -> np.ndarray:
-    """Distinct candidate pairs (least class, other class) of entries sorted by (token, pos), lists of at most LIST entries."""
+def list_pairs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct candidate pairs (least class, other class) of entries sorted by (token, pos), and the lists that each pair shares."""
     new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]])
     begin = np.flatnonzero(new)
     lst = np.cumsum(new) - 1
@@ -181,37 +183,35 @@ def list_pairs(e: np.ndarray) -> np.ndarray:
             p[:, 0], p[:, 1] = np.minimum(a, b), np.maximum(a, b)
             found.append(p[p[:, 0] != p[:, 1]])
     p = np.concatenate(found) if found else np.zeros((0, 2), "i8")
-    _, first, _ = distinct(mix(p[:, 0].view("u8")) + p[:, 1].view("u8")) if len(p) else (0, np.zeros(0, "i8"), 0)
-    return p[first]
+    _, first, place = distinct(mix(np.ascontiguousarray(p[:, 0]).view("u8")) + np.ascontiguousarray(p[:, 1]).view("u8"))
+    return p[first], np.bincount(place, minlength=len(first))
 
 
 def _meet(key, pdf):
-    """One bucket: pairs of its short lists; entries of its long lists (b is then null)."""
+    """One bucket: weighted pairs of its short lists; entries of its long lists (long is then true). Buckets under 0 hold entries of frequent shingles."""
     import pandas as pd
 
     e = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["blob"]])
-    e = e[np.argsort(e["token"], kind="stable")]
-    count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]])))
-    e = e[np.repeat(count, count) > 1]  # most shingles stand alone
+    if int(key[0]) >= 0:
+        e = e[np.argsort(e["token"], kind="stable")]
+        count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]])))
+        e = e[np.repeat(count, count) > 1]  # most shingles stand alone
     e = e[np.lexsort((e["cls"], e["pos"], e["token"]))] if len(e) else e
     e = e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e  # copies of a set from other blocks
     count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))) if len(e) else np.zeros(0, "i8")
     here = np.repeat(count, count)
-    short, long = e[(here > 1) & (here <= LIST)], e[here > LIST]
-    p = list_pairs(short) if len(short) else np.zeros((0, 2), "i8")
+    if int(key[0]) >= 0:
+        short, long = e[(here > 1) & (here <= LIST)], e[here > LIST]
+    else:
+        short, long = e[:0], e
+    p, w = list_pairs(short) if len(short) else (np.zeros((0, 2), "i8"), np.zeros(0, "i8"))
     none = np.zeros(len(p), "i8")
-    pairs = pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "token": none, "size": none, "pos": none, "long": False})
-    rest = pd.DataFrame({"a": long["cls"].view("i8") if len(long) else np.zeros(0, "i8"), "b": np.zeros(len(long), "i8"), "token": np.ascontiguousarray(long["token"]).view("i8"), "size": long["size"].astype("i8"), "pos": long["pos"].astype("i8"), "long": True})
+    pairs = pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "token": none, "size": w, "pos": none, "long": False})
+    col = {k: np.ascontiguousarray(long[k]) for k in ENTRY.names}
+    rest = pd.DataFrame({"a": col["cls"].view("i8"), "b": np.zeros(len(long), "i8"), "token": col["token"].view("i8"), "size": col["size"].astype("i8"), "pos": col["pos"].astype("i8"), "long": True})
     return pd.concat([pairs, rest])
 
 
-def _unpack_entries(batches):
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            e = np.frombuffer(blob, ENTRY)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[k]).astype("i8") if k in ("size", "pos") else np.ascontiguousarray(e[k]).view("i8")) for k in ("token", "cls", "size", "pos")], names=["token", "cls", "size", "pos"])
-
-
 def _differ(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two bitmaps differ; the longer one is folded, which keeps parities."""
     while len(x) > len(y):
@@ -228,7 +228,7 @@ def _close(batches):
         differ = np.fromiter((_differ(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)), "i8", len(n))
         # |x Δ y| = n + m - 2 overlap, and each shingle of it flips one bit
         ok = (differ <= n + m - 2 * _needed(n, m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
-        yield batch.filter(pa.array(ok)).select(["a", "b", "n", "m"])
+        yield batch.filter(pa.array(ok)).select(["a", "b", "n", "m", "w"])
 
 
 def _class_sets(wanted):
@@ -268,18 +268,19 @@ def _overlaps(batches):
 
 
 class _Join:
-    """The state of one run: which sets are known, and what is connected."""
+    """The state of one run: which pairs are verified, and what is connected."""
 
     def __init__(self, texts: DataFrame, classes: DataFrame):
-        self.texts, self.classes, self.links, self.known = texts, classes, None, None
+        self.texts, self.classes = texts, classes
+        self.links: DataFrame | None = None
         self.component: DataFrame | None = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """a, b, n, m of distinct pairs that their bitmaps allow."""
+        """a, b, n, m, w of those distinct pairs that their bitmaps allow."""
         c = self.classes
         left = c.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n"), F.col("bits").alias("x"))
         right = c.select(F.col("cls").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("y"))
-        return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_close, "a bigint, b bigint, n bigint, m bigint"))
+        return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "w", "x", "y").mapInArrow(_close, "a bigint, b bigint, n bigint, m bigint, w bigint"))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs not connected yet."""
@@ -289,9 +290,8 @@ class _Join:
         of = lambda k: c.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """pairs with their overlap, on full sets."""
-        pairs = saved(pairs)
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """The full sets of all classes in pairs, one row for each."""
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         n = wanted.limit(NEEDED + 1).count()
         keys = None
@@ -300,7 +300,10 @@ class _Join:
             keys = self.texts.sparkSession.sparkContext.broadcast(got)
         sets = self.texts.mapInArrow(_class_sets(keys), "cls bigint, held binary")
         sets = sets.join(wanted, "cls", "left_semi") if keys is None else sets
-        sets = saved(sets.dropDuplicates(["cls"]))
+        return saved(sets.dropDuplicates(["cls"]))
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs with their overlap, on full sets."""
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("held").alias("y")), "b")
         return saved(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, n bigint, m bigint, overlap bigint"))
 
@@ -310,23 +313,34 @@ class _Join:
         self.component = components(self.links)
 
     def settle(self, pairs: DataFrame) -> None:
-        """Connects whatever these candidate pairs link: leaders first, then the pairs still apart."""
-        pairs = self.near(pairs)
-        if pairs.isEmpty():
+        """Connects whatever these candidate pairs (a, b, w) link: best partners first, then all that is still apart."""
+        left = self.near(pairs)
+        if left.isEmpty():
             return
-        leaders = pairs.groupBy("b").agg(F.min(F.struct("a", "n", "m")).alias("p")).select("p.a", "b", "p.n", "p.m")
-        done = self.verify(leaders)
-        self.known = done
-        self.connect(done)
-        rest = self.apart(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        # b's overlap with a is at most its leader's overlap with a plus what the leader lacks of b
-        lead = done.select(F.col("a").alias("l"), "b", (F.col("m") - F.col("overlap")).alias("beyond"))
-        other = done.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.col("overlap").alias("known"))
-        rest = rest.join(lead, "b", "left").withColumn("p", F.least("l", "a")).withColumn("q", F.greatest("l", "a")).join(other, ["p", "q"], "left")
-        rest = rest.filter("known is null or l is null or l = a or 7 * (known + beyond) >= 3 * (n + m)").select("a", "b", "n", "m").distinct()
-        rest = saved(rest)
-        if not rest.isEmpty():
-            self.connect(self.verify(rest))
+        sets = self.sets(left)
+        known = None
+        for last in (False, False, True):
+            if known is not None:
+                left = saved(self.apart(left.join(known.select("a", "b"), ["a", "b"], "left_anti")))
+                if left.isEmpty():
+                    return
+            if last:
+                chosen = self.possible(left, known)
+            else:
+                row = F.struct("w", "a", "b", "n", "m")
+                ends = left.select(F.col("a").alias("end"), row.alias("p")).union(left.select(F.col("b").alias("end"), row.alias("p")))
+                chosen = ends.groupBy("end").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.n", "p.m").distinct()
+            done = self.verify(chosen, sets)
+            known = done if known is None else known.union(done)
+            self.connect(done)
+
+    def possible(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs that no computed overlap rules out: b's overlap with a is at most its leader's with a plus what the leader lacks of b."""
+        ways = known.select("a", "b", "m", "overlap").union(known.select("b", "a", "n", "overlap"))
+        lead = ways.groupBy("b").agg(F.max(F.struct("overlap", F.col("a").alias("l"), "m")).alias("p")).select("b", "p.l", (F.col("p.m") - F.col("p.overlap")).alias("beyond"))
+        other = known.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.col("overlap").alias("found")).distinct()
+        asked = pairs.join(lead, "b", "left").withColumn("p", F.least("l", "a")).withColumn("q", F.greatest("l", "a")).join(other, ["p", "q"], "left")
+        return asked.filter("found is null or 7 * (found + beyond) >= 3 * (n + m)").select("a", "b", "n", "m")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
@@ -354,22 +368,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((token[by], rank[by]))
 
     buckets = bucket_count(docs)
-    entries = saved(texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary"))
-    met = entries.filter("bucket >= 0").groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, token bigint, size bigint, pos bigint, long boolean")
-    met = saved(met)
+    entries = texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary")
+    met = saved(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, token bigint, size bigint, pos bigint, long boolean"))
     lists = met.filter("long").select("token", F.col("a").alias("cls"), "size", "pos")
-    hot = entries.filter("bucket = -1").select("blob").mapInArrow(_unpack_entries, "token bigint, cls bigint, size bigint, pos bigint").distinct()
-    lists = saved(lists.union(hot))
 
     classes = held.filter("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("id").alias("id"))
     classes = saved(classes)
     state = _Join(texts, classes)
-    # each class of a long list with the list's least class of a similar size: size steps keep the two comparable
-    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3)))
-    banded = lists.withColumn("band", step)
-    least = banded.groupBy("token", "band").agg(F.min("cls").alias("a"))
-    star = banded.join(least, ["token", "band"]).filter("a < cls").select("a", F.col("cls").alias("b"))
-    state.settle(met.filter("not long").select("a", "b").union(star).distinct())
+    # each class of a long list with its leaders, of its own band of sizes and of the two beside it
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3)))
+    central = lists.groupBy("cls").agg(F.count("*").alias("lists"))
+    banded = lists.join(central, "cls").select("token", "cls", "size", "lists", band.alias("band"))
+    leader = banded.groupBy("token", "band").agg(F.max(F.struct("lists", "cls", "size")).alias("p"))
+    leader = leader.select("token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("p.cls").alias("l"), F.col("p.size").alias("ls"))
+    star = banded.join(leader, ["token", "band"]).filter("l <> cls and 4 * least(size, ls) >= 3 * greatest(size, ls)")
+    star = star.groupBy(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).agg(F.count("*").alias("w"))
+    state.settle(met.filter("not long").select("a", "b", F.col("size").alias("w")).union(star).groupBy("a", "b").agg(F.sum("w").alias("w")))
 
     # long lists that are not yet one component
     part = lists if state.component is None else lists.join(state.component.select(F.col("node").alias("cls"), "component"), "cls", "left")
@@ -381,7 +395,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = out.join(open_, "token").filter(
         "component <> xk and (component = main or cls < xc) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
     )
-    state.settle(both.select(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).distinct())
+    state.settle(both.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
 
     if pairs:
         return (state.links if state.links is not None else spark.createDataFrame([], "a bigint, b bigint")).distinct()
