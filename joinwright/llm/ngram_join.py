@@ -41,10 +41,11 @@ BITS = 1024
 LIST = 16
 #: Entries in a block of an index list.
 POSITIONS = 4
-#: A shingle that this many different sets of one block of text share counts as frequent.
-FREQUENT_IN_BLOCK = 6
-#: Bound of the broadcast order: the most frequent shingles, eight bytes each. It serves speed only.
-FREQUENT = 200_000
+#: A shingle that this many sets share, of a span of so many prefix shingles, counts as frequent.
+FREQUENT_SETS = 3
+SPAN = 2_000_000
+#: Bound of the broadcast order: the most frequent shingles, sixteen bytes each. It serves speed only.
+FREQUENT = 1_000_000
 #: Bound of the broadcast list of classes whose sets are read; with more, every class's set is shuffled.
 NEEDED = 2_000_000
 
@@ -75,27 +76,39 @@ def _parity(held: np.ndarray) -> bytes:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and rows that hold only shingles that FREQUENT_SETS of a span of blocks share.
+
+    Counted are different sets of a block, and of each the lower quarter by hash: what could stand in a prefix.
+    """
+    kept, size = [], 0
+
+    def often() -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(kept))
+        cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, "i8")
+        at = np.flatnonzero(np.diff(cuts) >= FREQUENT_SETS)
+        counts = np.empty((len(at), 2), "i8")
+        counts[:, 0], counts[:, 1] = tokens[cuts[at]].view("i8"), np.diff(cuts)[at]
+        return _rows([None], [None], [None], [None], [counts.tobytes()])
+
     for batch in batches:
         for at, to, held, bounds, cls in _sets(batch.column(1)):
             bits = [_parity(held[bounds[i] : bounds[i + 1]]) for i in range(to - at)]
             _, first, _ = distinct(cls)
-            parts = [held[bounds[i] : bounds[i + 1]] for i in first]
-            tokens = np.sort(np.concatenate(parts)) if parts else held
-            cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, "i8")
-            often = np.flatnonzero(np.diff(cuts) >= FREQUENT_IN_BLOCK)
-            counts = np.empty((len(often), 2), "i8")
-            counts[:, 0], counts[:, 1] = tokens[cuts[often]].view("i8"), np.diff(cuts)[often]
-            n = to - at
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0).slice(at, n), pa.nulls(1, batch.column(0).type)]),
-                    pa.array([*np.diff(bounds).tolist(), None], pa.int64()),
-                    pa.array([*cls.view("i8").tolist(), None], pa.int64()),
-                    pa.array([*bits, None], pa.binary()),
-                    pa.array([None] * n + [counts.tobytes()], pa.binary()),
-                ],
-                names=["id", "n_shingles", "cls", "bits", "often"],
-            )
+            for i in first:
+                n = int(bounds[i + 1] - bounds[i])
+                kept.append(held[bounds[i] : bounds[i] + n - -(-3 * n // 4) + 1] if n else held[:0])
+                size += len(kept[-1])
+            yield _rows(batch.column(0).slice(at, to - at), np.diff(bounds), cls.view("i8"), bits, [None] * (to - at))
+            if size > SPAN:
+                yield often()
+                kept, size = [], 0
+    if kept:
+        yield often()
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_shingles", "cls", "bits", "often"])
 
 
 def _frequent_rows(batches):
