@@ -1,13 +1,17 @@
-"""Token ids of whole texts from the ids of their words, by a public tokenizer library.
+"""Token ids of whole texts from the ids of their pre-tokens, by a public tokenizer library.
 
-For a tokenizer that drops white space and splits at it, a text's ids are its words' ids in turn. So each
-worker asks the library once for each different word that it meets, special strings inside words included.
+For a tokenizer that drops white space and splits at it, and between a letter and a mark, a text's ids are
+its pieces' ids in turn. The pieces here are words, divided only between an ASCII letter and an ASCII mark
+other than the | of special strings, which the library therefore sees whole. It lower-cases, so A-Z are
+folded in hashes, except in blocks with special strings. Each worker asks the library once for each different
+piece that it meets.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from .ship import ship
 from .words import Words, blocks, distinct, find_words
 
 #: Entries of a worker's cache; a full cache is emptied.
-CACHE = 400_000
+CACHE = 500_000
 #: Entries of the broadcast table of frequent words (ten bytes each), and how many candidates each task names.
 FREQUENT = 100_000
 NAMED = 16_384
@@ -31,6 +35,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def find_pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
+    return find_words(data, offsets, fold=b"<|" not in data.tobytes(), cut=True)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str | None) -> Encoder:
+    """This process's encoder, whose cache outlives tasks."""
+    path = path or default_path()
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Ids of words through a cache from word hash to a run of stored ids."""
 
@@ -63,15 +82,18 @@ class Encoder:
         lack = [i for i, g in enumerate(got) if g < 0]
         if lack:
             whole = data.tobytes()
-            new = self.encode([whole[start[i] : end[i]].decode() for i in lack])
-            for i, ids in zip(lack, new, strict=True):
-                k = len(self.place)
-                if self.n + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "u4")])
-                self.ids[self.n : self.n + len(ids)] = ids
-                self.start[k], self.length[k] = self.n, len(ids)
-                self.n += len(ids)
-                self.place[keys[i]] = got[i] = k
+            at, to = start[lack].tolist(), end[lack].tolist()
+            new = self.encode([whole[i:j].decode() for i, j in zip(at, to, strict=True)])
+            sizes = np.fromiter(map(len, new), "i8", len(new))
+            flat = np.fromiter(chain.from_iterable(new), "u4", int(sizes.sum()))
+            if self.n + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), "u4")])
+            self.ids[self.n : self.n + len(flat)] = flat
+            k = len(self.place)
+            self.start[k : k + len(new)], self.length[k : k + len(new)] = self.n + np.cumsum(sizes) - sizes, sizes
+            self.n += len(flat)
+            for j, i in enumerate(lack, k):
+                self.place[keys[i]] = got[i] = j
         return np.array(got, "i8")
 
     def lengths(self, words: Words, data: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -101,7 +123,7 @@ def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     keys, counts, names = np.zeros(0, "u8"), np.zeros(0, "i8"), {}
     for batch in batches:
         for _, _, data, offsets in blocks(batch.column(0)):
-            words = find_words(data, offsets, fold=False)
+            words = find_pieces(data, offsets)
             u, first, place = distinct(words.hash)
             n = np.bincount(place, minlength=len(u))
             top = np.argsort(-n, kind="stable")[:NAMED]
@@ -138,17 +160,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     encoder = Encoder(tokenizer)
     hashes, lengths = [], []
     for at, to, data, offsets in blocks(column):
-        hashes.append(find_words(data, offsets, fold=False).hash)
+        hashes.append(find_pieces(data, offsets).hash)
         lengths += [len(x) for x in encoder.encode(names[at:to])]
     key = np.concatenate(hashes) if hashes else np.zeros(0, "u8")
     by = np.argsort(key)
     table = spark.sparkContext.broadcast((key[by], np.array(lengths, "u2")[by] if len(key) else np.zeros(0, "u2")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(tokenizer)
+        own = worker_encoder(tokenizer)
         for batch in batches:
             for at, to, data, offsets in blocks(batch.column(1)):
-                words = find_words(data, offsets, fold=False)
+                words = find_pieces(data, offsets)
                 n = np.bincount(words.doc, weights=own.lengths(words, data, table.value), minlength=to - at).astype("i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(np.diff(offsets)), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
@@ -163,10 +185,10 @@ def token_pieces(docs: DataFrame, window: int, end_id: int, id_col: str, text_co
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, met = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, "i8")
+        own, task, met = worker_encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, "i8")
         for batch in batches:
             for at, to, data, offsets in blocks(batch.column(1)):
-                words = find_words(data, offsets, fold=False)
+                words = find_pieces(data, offsets)
                 ids, n = own.all_ids(words, data)
                 size = np.bincount(words.doc, weights=n, minlength=to - at).astype("i8") + 1
                 begin = np.concatenate([[0], np.cumsum(size)])

@@ -37,6 +37,11 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _EXACT = constants(256, 11)
 _FOLDED = _EXACT.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
+#: Where ``cut`` divides words: after an ASCII letter and before one of these.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "|"]] = True
 _powers: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
 
 
@@ -76,13 +81,17 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
         at = to
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, fold: bool, hashes: bool = True) -> Words:
-    """All words of a block. fold: hash A-Z as a-z."""
+def find_words(data: np.ndarray, offsets: np.ndarray, fold: bool, hashes: bool = True, cut: bool = False) -> Words:
+    """All words of a block. fold: hash A-Z as a-z. cut: divide words between an ASCII letter and an ASCII mark other than |."""
     parts, at, n = [], 0, len(data)
     word = ~SEPARATOR[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
+    if cut and n:
+        between = _LETTER[data[:-1]] & _MARK[data[1:]]
+        first[1:] |= between
+        last[:-1] |= between
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     first[edges] = word[edges]
