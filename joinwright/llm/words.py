@@ -83,7 +83,7 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
 
 def find_words(data: np.ndarray, offsets: np.ndarray, fold: bool, hashes: bool = True, cut: bool = False) -> Words:
     """All words of a block. fold: hash A-Z as a-z. cut: divide words between an ASCII letter and an ASCII mark other than |."""
-    parts, at, n = [], 0, len(data)
+    n = len(data)
     word = ~SEPARATOR[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -97,23 +97,26 @@ def find_words(data: np.ndarray, offsets: np.ndarray, fold: bool, hashes: bool =
     first[edges] = word[edges]
     last[edges - 1] = word[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if hashes:
-        table = _FOLDED if fold else _EXACT
-        k = 0
-        while k < len(start):
-            at = start[k]
-            to = max(k + 1, int(np.searchsorted(end, at + BLOCK, side="right")))
-            run = table[data[at : end[to - 1]]]
-            power, inverse = _power_tables(len(run) + 1)
-            sums = np.zeros(len(run) + 1, "u8")
-            np.cumsum(run * power[: len(run)], out=sums[1:])
-            s, e = start[k:to] - at, end[k:to] - at
-            parts.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype("u8")))
-            k = to
-    found = np.concatenate(parts) if parts else np.zeros(0, "u8")
+    found = hash_spans(data, start, end, fold) if hashes else np.zeros(0, "u8")
     return Words(start, end, np.searchsorted(offsets, start, side="right") - 1, found)
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of byte spans; starts and ends ascend."""
+    parts, k, table = [], 0, _FOLDED if fold else _EXACT
+    while k < len(start):
+        at = start[k]
+        to = max(k + 1, int(np.searchsorted(end, at + BLOCK, side="right")))
+        run = table[data[at : end[to - 1]]]
+        power, inverse = _power_tables(len(run) + 1)
+        sums = np.zeros(len(run) + 1, "u8")
+        np.cumsum(run * power[: len(run)], out=sums[1:])
+        s, e = start[k:to] - at, end[k:to] - at
+        parts.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype("u8")))
+        k = to
+    return np.concatenate(parts) if parts else np.zeros(0, "u8")
+
+
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, an index of each, each value's place among them)."""
     order = np.argsort(hashes)
