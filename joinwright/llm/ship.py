@@ -1,4 +1,4 @@
-"""Sends this package's code to the executors, whose Python may not find it otherwise."""
+"""Prepares a session for operators in Python: sends this package's code to the executors, and bounds the batches that workers hold."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes in an Arrow batch where the session has Spark's default: a batch of long texts must fit a small worker.
+BATCH_BYTES = 8 << 20
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the context's Python files, once for each context."""
+    """Adds the package to the context's Python files, once for each context, and lowers the session's bytes in an Arrow batch to BATCH_BYTES."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) in (None, "-1", "67108864b"):
+        spark.conf.set(limit, BATCH_BYTES)
     context = spark.sparkContext
     key = f"{context.applicationId}"
     if key in _sent:

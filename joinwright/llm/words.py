@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; longer documents are cut at white space.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
