@@ -42,8 +42,12 @@ def size_estimate(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, per_bucket: int = 32 << 20) -> int:
-    """Hash buckets for packed shuffles over df: in proportion to its bytes, and no fewer than the session's shuffle partitions."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_estimate(df) // per_bucket), 1)
+    """Hash buckets for packed shuffles over df: in proportion to its bytes, and no fewer than the session's shuffle partitions.
+
+    An estimate beyond a petabyte is the optimizer's word for not knowing, as for rows that come from the driver.
+    """
+    size = size_estimate(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_bucket) if size < 1 << 50 else 1, 1)
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

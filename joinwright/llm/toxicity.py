@@ -81,7 +81,7 @@ class Index:
         self.run = np.searchsorted(key, np.arange(len(terms) * max(self.blocks, 1) + 1)).reshape(-1)
         self.most = np.zeros(len(terms) * max(self.blocks, 1))
         np.maximum.at(self.most, key, self.weight)
-        self.most = self.most.reshape(len(terms), -1)
+        self.most = self.most.reshape(len(terms), max(self.blocks, 1))
 
     def vector(self, place: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.idf[place]
