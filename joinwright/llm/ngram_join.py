@@ -17,6 +17,8 @@ A document's set holds its distinct five-word shingles. Two sets link when 100 *
    its leader's computed overlap plus the shingles the leader lacks; pairs that this rules out are never read.
 4. Long lists whose classes are all connected by then are done: nothing in them can change the answer. In the
    others, classes outside the list's largest component meet the rest, and their pairs are verified likewise.
+   A passage gives both classes of a pair a run of such lists; the pair comes from the first list of the run only.
+   That is exact: all orders agree, so whatever a later list allows, the first one allows.
 
 Connections come from distributed rounds; no task or driver holds a list, a group or a component whole.
 """
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,6 +46,8 @@ POSITIONS = 4
 #: A shingle that this many sets share, of a span of so many prefix shingles, counts as frequent.
 FREQUENT_SETS = 3
 SPAN = 2_000_000
+#: Earlier lists that an entry of an open list carries, to tell the first of a run of lists. It serves speed only.
+BEFORE = 8
 #: Bound of the broadcast order: the most frequent shingles, sixteen bytes each. It serves speed only.
 FREQUENT = 1_000_000
 #: Bound of the broadcast list of classes whose sets are read; with more, every class's set is shuffled.
@@ -403,10 +407,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part = part.withColumn("component", F.coalesce("component", "cls") if "component" in part.columns else F.col("cls"))
     size = part.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = size.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = saved(part.join(main, "token").select("token", "cls", "size", "pos", "component", "main"))
-    out = open_.filter("component <> main").select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("component").alias("xk"))
+    # classes that also share one of their last open lists before this one met there, at lower positions, and are not looked at again
+    before = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
+    open_ = saved(part.join(main, "token").select("token", "cls", "size", "pos", "component", "main", before.alias("before")))
+    out = open_.filter("component <> main").select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("component").alias("xk"), F.col("before").alias("xb"))
     both = out.join(open_, "token").filter(
-        "component <> xk and (component = main or cls < xc) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
+        "component <> xk and (component = main or cls < xc) and not arrays_overlap(before, xb) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
     )
     state.settle(both.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
 
