@@ -16,9 +16,13 @@ A document's set holds its distinct five-word shingles. Two sets link when 100 *
    not yet connected to it, then whatever is still apart. A member's overlap with another set is bounded by
    its leader's computed overlap plus the shingles the leader lacks; pairs that this rules out are never read.
 4. Long lists whose classes are all connected by then are done: nothing in them can change the answer. In the
-   others, classes outside the list's largest component meet the rest, and their pairs are verified likewise.
-   A passage gives both classes of a pair a run of such lists; the pair comes from the first list of the run only.
-   That is exact: all orders agree, so whatever a later list allows, the first one allows.
+   others, each class is compared with one similar set, its reference, and those of one reference meet by what sets
+   them apart from it: classes outside the reference's component look for the rest in an index of differences
+   (see ``_differences``), so that a group of near copies of one text doesn't meet in pairs.
+5. Classes of different references, where still apart, meet in the open lists: those outside the list's largest
+   component meet the rest, and their pairs are verified likewise. A passage gives both classes of a pair a run of
+   such lists; the pair comes from the first list of the run only. That is exact: all orders agree, so whatever a
+   later list allows, the first one allows.
 
 Connections come from distributed rounds; no task or driver holds a list, a group or a component whole.
 """
@@ -39,7 +43,7 @@ from .words import blocks, constants, distinct, find_words, mix, packed, shingle
 
 #: Least bits of a bitmap; larger sets have at least twice as many bits as shingles.
 BITS = 1024
-#: All pairs of a list are looked at up to this length; longer lists go by steps 2 and 4.
+#: All pairs of a list are looked at up to this length; longer lists go by steps 2, 4 and 5.
 LIST = 16
 #: Entries in a block of an index list.
 POSITIONS = 4
@@ -284,6 +288,46 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), batch.column("m"), pa.array(found, pa.int64())], names=["a", "b", "n", "m", "overlap"])
 
 
+def _differences(frequent):
+    """For each class, the start of its difference D from its reference: shingles that only one of the two has.
+
+    Of sets of sizes n and m whose differences from one reference of size r hold a and b shingles, D and D' share
+    (a + b - |x ^ y|) / 2, and linked sets have |x ^ y| <= (n + m) / 7. Where a + b <= (n + m) / 7, both link with the
+    reference itself. So a set outside the reference's component (7 a > n + r) shares a shingle of its difference
+    with every set that it links with: among the first a - a + n / 3 + 1 of its own (``long``), and, as the other set
+    knows that its partner is outside, the first b - (7 b + 1 + r - m) / 14 + 1 of the other (``short``).
+    In the common order, shingles of the reference, which many sets lack, come last, and frequent ones before them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = frequent.value
+        for batch in batches:
+            cls, ref, inside = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "ref", "inside"))
+            found = []
+            for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
+                x, r = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8")
+                more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+                n, a = len(x), len(more) + len(less)
+                short = a - max(1, -(-(7 * a + 1 + len(r) - n) // 14)) + 1
+                long = 0 if inside[i] else a - max(1, -(-(3 * a - n) // 3)) + 1
+                take = max(short, long, 0)
+                if not take:
+                    continue
+                if len(order[0]) and len(more):
+                    at = np.minimum(np.searchsorted(order[0], more), len(order[0]) - 1)
+                    more = more[np.argsort(np.where(order[0][at] == more, order[1][at] + 1, 0), kind="stable")]
+                d = np.concatenate([more, less])[:take]
+                pos = np.arange(len(d))
+                row = np.empty((len(d), 8), "i8")
+                row[:, 0], row[:, 1], row[:, 2], row[:, 3], row[:, 4] = ref[i], d.view("i8"), cls[i], n, a
+                row[:, 5], row[:, 6], row[:, 7] = pos, pos < short, pos < long
+                found.append(row)
+            rows = np.concatenate(found) if found else np.zeros((0, 8), "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(6)] + [pa.array(rows[:, k] > 0) for k in (6, 7)], names=["ref", "token", "cls", "n", "a", "pos", "short", "long"])
+
+    return run
+
+
 class _Join:
     """The state of one run: which pairs are verified, and what is connected."""
 
@@ -351,6 +395,39 @@ class _Join:
             known = done if known is None else known.union(done)
             self.connect(done)
 
+    def open(self, lists: DataFrame) -> DataFrame:
+        """token, cls, size, pos, component, main: the lists that are not yet one component; main is the largest there."""
+        part = lists
+        if self.component is not None:
+            part = lists.join(self.component.select(F.col("node").alias("cls"), F.col("component").alias("known")), "cls", "left")
+        part = part.withColumn("component", F.coalesce("known", "cls") if self.component is not None else F.col("cls"))
+        size = part.groupBy("token", "component").agg(F.count("*").alias("k"))
+        main = size.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        return part.join(main, "token").select("token", "cls", "size", "pos", "component", "main")
+
+    def differ(self, refs: DataFrame, frequent) -> None:
+        """Connects whatever classes of one reference link: cls, ref, where each reference has itself."""
+        c = self.classes
+        of = lambda k, n: c.select(F.col("cls").alias(k), F.col("n_shingles").alias(n))
+        asked = saved(refs.filter("cls <> ref").select(F.col("cls").alias("a"), F.col("ref").alias("b")).join(of("a", "n"), "a").join(of("b", "m"), "b"))
+        if asked.isEmpty():
+            return
+        sets = self.sets(asked.select("a", "b"))
+        self.connect(self.verify(asked, sets))
+        known = self.component.select(F.col("node").alias("cls"), F.col("component").alias("known"))
+        owned = refs.join(known, "cls", "left").withColumn("component", F.coalesce("known", "cls")).select("cls", "ref", "component")
+        main = owned.filter("cls = ref").select("ref", F.col("component").alias("main"))
+        owned = saved(owned.join(main, "ref").withColumn("inside", F.col("component") == F.col("main")))
+        left = owned.filter("cls <> ref").join(owned.filter("not inside").select("ref").distinct(), "ref", "left_semi")
+        both = left.join(sets.select("cls", F.col("held").alias("x")), "cls").join(sets.select(F.col("cls").alias("ref"), F.col("held").alias("r")), "ref")
+        d = saved(both.select("cls", "ref", "inside", "x", "r").mapInArrow(_differences(frequent), "ref bigint, token bigint, cls bigint, n bigint, a bigint, pos bigint, short boolean, long boolean"))
+        d = d.join(owned.select("cls", "component", "inside"), "cls")
+        out = d.filter("long").select("ref", "token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("pos").alias("xp"), F.col("component").alias("xk"))
+        met = out.join(d.filter("short"), ["ref", "token"]).filter(
+            "component <> xk and (inside or cls < xc) and 4 * least(n, xn) >= 3 * greatest(n, xn) and 14 * (1 + least(a - 1 - pos, xa - 1 - xp)) >= 7 * (a + xa) - (n + xn)"
+        )
+        self.settle(met.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
+
     def possible(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs that no computed overlap rules out: b's overlap with a is at most its leader's with a plus what the leader lacks of b."""
         ways = known.select("a", "b", "m", "overlap").union(known.select("b", "a", "n", "overlap"))
@@ -402,17 +479,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = star.groupBy(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).agg(F.count("*").alias("w"))
     state.settle(met.filter("not long").select("a", "b", F.col("size").alias("w")).union(star).groupBy("a", "b").agg(F.sum("w").alias("w")))
 
-    # long lists that are not yet one component
-    part = lists if state.component is None else lists.join(state.component.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    part = part.withColumn("component", F.coalesce("component", "cls") if "component" in part.columns else F.col("cls"))
-    size = part.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = size.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    # classes of open lists by their differences from a reference: of the leaders, the one that each shares most lists with
+    star = saved(star)
+    open_ = state.open(lists)
+    ends = star.select(F.col("a").alias("cls"), F.struct("w", F.col("b").alias("ref")).alias("p")).union(star.select(F.col("b").alias("cls"), F.struct("w", F.col("a").alias("ref")).alias("p")))
+    best = ends.join(leader.select(F.col("l").alias("ref")).distinct(), F.col("p.ref") == F.col("ref"), "left_semi")
+    best = best.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("p").alias("p")).select("cls", F.col("p.ref").alias("ref"))
+    best = saved(best)
+    itself = best.select(F.col("ref").alias("cls")).distinct()
+    refs = saved(best.join(itself, "cls", "left_anti").union(itself.select("cls", F.col("cls").alias("ref"))))
+    state.differ(refs, frequent)
+
+    open_ = state.open(lists).join(refs, "cls", "left").withColumn("ref", F.coalesce("ref", "cls"))
     # classes that also share one of their last open lists before this one met there, at lower positions, and are not looked at again
     before = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
-    open_ = saved(part.join(main, "token").select("token", "cls", "size", "pos", "component", "main", before.alias("before")))
-    out = open_.filter("component <> main").select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("component").alias("xk"), F.col("before").alias("xb"))
+    open_ = saved(open_.withColumn("before", before))
+    out = open_.filter("component <> main").select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("component").alias("xk"), F.col("before").alias("xb"), F.col("ref").alias("xr"))
     both = out.join(open_, "token").filter(
-        "component <> xk and (component = main or cls < xc) and not arrays_overlap(before, xb) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
+        "component <> xk and ref <> xr and (component = main or cls < xc) and not arrays_overlap(before, xb) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
     )
     state.settle(both.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
 
