@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ship import ship
-from .storage import bucket_count, saved, small_or_shuffled
+from .storage import bucket_count, discard, saved, small_or_shuffled
 from .words import blocks, constants, distinct, find_words, mix, packed, shingles
 
 #: Least bits of a bitmap; larger sets have at least twice as many bits as shingles.
@@ -54,6 +54,8 @@ SPAN = 2_000_000
 BEFORE = 8
 #: Bound of the broadcast order: the most frequent shingles, sixteen bytes each. It serves speed only.
 FREQUENT = 1_000_000
+#: Reference sets are broadcast up to so many bytes; beyond, they are joined by a shuffle.
+REFERENCE_BYTES = 32 << 20
 #: Bound of the broadcast list of classes whose sets are read; with more, every class's set is shuffled.
 NEEDED = 2_000_000
 
@@ -288,6 +290,33 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), batch.column("m"), pa.array(found, pa.int64())], names=["a", "b", "n", "m", "overlap"])
 
 
+def _apart(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles that only x has, then those that only r has, and the number of the former."""
+    more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+    return np.concatenate([more, less]), len(more)
+
+
+def _shared_differences(batches):
+    """(key, n): shingles of differences that FREQUENT_SETS classes of one reference and span share; a key mixes reference and shingle."""
+    kept, size = [], 0
+
+    def often() -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(kept), return_counts=True)
+        at = np.flatnonzero(n >= FREQUENT_SETS)
+        return pa.RecordBatch.from_arrays([pa.array(keys[at].view("i8")), pa.array(n[at].astype("i8"))], names=["key", "n"])
+
+    for batch in batches:
+        ref = mix(batch.column("ref").to_numpy().view("u8"))
+        for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
+            kept.append(mix(_apart(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8"))[0] ^ ref[i]))
+            size += len(kept[-1])
+            if size > SPAN:
+                yield often()
+                kept, size = [], 0
+    if kept:
+        yield often()
+
+
 def _differences(frequent):
     """For each class, the start of its difference D from its reference: shingles that only one of the two has.
 
@@ -296,30 +325,31 @@ def _differences(frequent):
     reference itself. So a set outside the reference's component (7 a > n + r) shares a shingle of its difference
     with every set that it links with: among the first a - a + n / 3 + 1 of its own (``long``), and, as the other set
     knows that its partner is outside, the first b - (7 b + 1 + r - m) / 14 + 1 of the other (``short``).
-    In the common order, shingles of the reference, which many sets lack, come last, and frequent ones before them.
+    In the common order, shingles that many differences share come last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = frequent.value
         for batch in batches:
             cls, ref, inside = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "ref", "inside"))
+            salt = mix(ref.view("u8"))
             found = []
             for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
                 x, r = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8")
-                more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
-                n, a = len(x), len(more) + len(less)
+                d, _ = _apart(x, r)
+                n, a = len(x), len(d)
                 short = a - max(1, -(-(7 * a + 1 + len(r) - n) // 14)) + 1
                 long = 0 if inside[i] else a - max(1, -(-(3 * a - n) // 3)) + 1
-                take = max(short, long, 0)
-                if not take:
+                take = max(short, long)
+                if take <= 0:
                     continue
-                if len(order[0]) and len(more):
-                    at = np.minimum(np.searchsorted(order[0], more), len(order[0]) - 1)
-                    more = more[np.argsort(np.where(order[0][at] == more, order[1][at] + 1, 0), kind="stable")]
-                d = np.concatenate([more, less])[:take]
-                pos = np.arange(len(d))
-                row = np.empty((len(d), 8), "i8")
-                row[:, 0], row[:, 1], row[:, 2], row[:, 3], row[:, 4] = ref[i], d.view("i8"), cls[i], n, a
+                if len(order[0]):
+                    key = mix(d ^ salt[i])
+                    at = np.minimum(np.searchsorted(order[0], key), len(order[0]) - 1)
+                    d = d[np.argsort(np.where(order[0][at] == key, order[1][at] + 1, 0), kind="stable")]
+                pos = np.arange(take)
+                row = np.empty((take, 8), "i8")
+                row[:, 0], row[:, 1], row[:, 2], row[:, 3], row[:, 4] = ref[i], d[:take].view("i8"), cls[i], n, a
                 row[:, 5], row[:, 6], row[:, 7] = pos, pos < short, pos < long
                 found.append(row)
             rows = np.concatenate(found) if found else np.zeros((0, 8), "i8")
@@ -328,6 +358,13 @@ def _differences(frequent):
     return run
 
 
+def _ranked(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT keys of most rows: sorted, and the rank of each by ascending count."""
+    found = rows.groupBy(key).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), key).limit(FREQUENT).toPandas()[key].to_numpy(dtype="i8").view("u8")
+    by = np.argsort(found)
+    return found[by], np.arange(len(found))[::-1][by]
+
+
 class _Join:
     """The state of one run: which pairs are verified, and what is connected."""
 
@@ -379,6 +416,10 @@ class _Join:
         if left.isEmpty():
             return
         sets = self.sets(left)
+        self._settle(left, sets)
+        discard(left, sets)
+
+    def _settle(self, left: DataFrame, sets: DataFrame) -> None:
         known = None
         for last in (False, False, True):
             if known is not None:
@@ -405,7 +446,7 @@ class _Join:
         main = size.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
         return part.join(main, "token").select("token", "cls", "size", "pos", "component", "main")
 
-    def differ(self, refs: DataFrame, frequent) -> None:
+    def differ(self, refs: DataFrame) -> None:
         """Connects whatever classes of one reference link: cls, ref, where each reference has itself."""
         c = self.classes
         of = lambda k, n: c.select(F.col("cls").alias(k), F.col("n_shingles").alias(n))
@@ -418,9 +459,13 @@ class _Join:
         owned = refs.join(known, "cls", "left").withColumn("component", F.coalesce("known", "cls")).select("cls", "ref", "component")
         main = owned.filter("cls = ref").select("ref", F.col("component").alias("main"))
         owned = saved(owned.join(main, "ref").withColumn("inside", F.col("component") == F.col("main")))
-        left = owned.filter("cls <> ref").join(owned.filter("not inside").select("ref").distinct(), "ref", "left_semi")
-        both = left.join(sets.select("cls", F.col("held").alias("x")), "cls").join(sets.select(F.col("cls").alias("ref"), F.col("held").alias("r")), "ref")
+        left = saved(owned.filter("cls <> ref").join(owned.filter("not inside").select("ref").distinct(), "ref", "left_semi").select("cls", "ref", "inside"))
+        led = saved(sets.select(F.col("cls").alias("ref"), F.col("held").alias("r")).join(left.select("ref").distinct(), "ref", "left_semi"))
+        small = (led.agg(F.sum(F.length("r"))).first()[0] or 0) <= REFERENCE_BYTES
+        both = sets.select("cls", F.col("held").alias("x")).join(small_or_shuffled(left), "cls").join(led.hint("broadcast") if small else led, "ref")
+        frequent = self.texts.sparkSession.sparkContext.broadcast(_ranked(both.select("ref", "x", "r").mapInArrow(_shared_differences, "key bigint, n bigint"), "key"))
         d = saved(both.select("cls", "ref", "inside", "x", "r").mapInArrow(_differences(frequent), "ref bigint, token bigint, cls bigint, n bigint, a bigint, pos bigint, short boolean, long boolean"))
+        discard(sets, led)
         d = d.join(owned.select("cls", "component", "inside"), "cls")
         out = d.filter("long").select("ref", "token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("pos").alias("xp"), F.col("component").alias("xk"))
         met = out.join(d.filter("short"), ["ref", "token"]).filter(
@@ -455,11 +500,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     summary = saved(rows.mapInArrow(_summaries, "id bigint, n_shingles bigint, cls bigint, bits binary, often binary"))
     held = summary.filter("often is null").select("id", "n_shingles", "cls", "bits")
     often = summary.filter("often is not null").select("often").mapInArrow(_frequent_rows, "token bigint, n bigint")
-    often = often.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    token = often["token"].to_numpy(dtype="i8").view("u8")
-    rank = np.arange(len(token))[::-1]
-    by = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[by], rank[by]))
+    frequent = spark.sparkContext.broadcast(_ranked(often, "token"))
 
     buckets = bucket_count(docs)
     entries = texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary")
@@ -488,7 +529,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = saved(best)
     itself = best.select(F.col("ref").alias("cls")).distinct()
     refs = saved(best.join(itself, "cls", "left_anti").union(itself.select("cls", F.col("cls").alias("ref"))))
-    state.differ(refs, frequent)
+    state.differ(refs)
 
     open_ = state.open(lists).join(refs, "cls", "left").withColumn("ref", F.coalesce("ref", "cls"))
     # classes that also share one of their last open lists before this one met there, at lower positions, and are not looked at again

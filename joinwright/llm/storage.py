@@ -24,18 +24,29 @@ def saved(df: DataFrame) -> DataFrame:
     """Computes df once, and returns it as read from the shared folder: a lost executor costs no recomputation upstream."""
     path = f"{shared_folder(df.sparkSession)}/joinwright-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes what ``saved`` has written in this shared folder; only for use when no result of an operator is still to be read."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+def _delete(spark: SparkSession, pattern: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "joinwright-*")) or []:
+    for x in fs.globStatus(at) or []:
         fs.delete(x.getPath(), True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` returned, once all that was derived from them is itself saved."""
+    for df in tables:
+        _delete(df.sparkSession, df._saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what ``saved`` has written in this shared folder; only for use when no result of an operator is still to be read."""
+    _delete(spark, f"{shared_folder(spark)}/joinwright-*")
+
+
 def size_estimate(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
