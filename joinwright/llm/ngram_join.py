@@ -325,21 +325,23 @@ def _differences(frequent):
     reference itself. So a set outside the reference's component (7 a > n + r) shares a shingle of its difference
     with every set that it links with: among the first a - a + n / 3 + 1 of its own (``long``), and, as the other set
     knows that its partner is outside, the first b - (7 b + 1 + r - m) / 14 + 1 of the other (``short``).
+    No partner's difference is smaller than the least of the group (``nearest``; outside, ``nearest_out``), which
+    shortens both where a group is only loosely alike: as n <= 4 m / 3, at least (a + least - m / 3) / 2 are shared.
     In the common order, shingles that many differences share come last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = frequent.value
         for batch in batches:
-            cls, ref, inside = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "ref", "inside"))
+            cls, ref, inside, nearest, nearest_out = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "ref", "inside", "nearest", "nearest_out"))
             salt = mix(ref.view("u8"))
             found = []
             for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
                 x, r = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8")
                 d, _ = _apart(x, r)
                 n, a = len(x), len(d)
-                short = a - max(1, -(-(7 * a + 1 + len(r) - n) // 14)) + 1
-                long = 0 if inside[i] else a - max(1, -(-(3 * a - n) // 3)) + 1
+                short = a - max(1, -(-(7 * a + 1 + len(r) - n) // 14), -(-(3 * (a + int(nearest_out[i])) - n) // 6)) + 1
+                long = 0 if inside[i] else a - max(1, -(-(3 * a - n) // 3), -(-(3 * (a + int(nearest[i])) - n) // 6)) + 1
                 take = max(short, long)
                 if take <= 0:
                     continue
@@ -454,17 +456,20 @@ class _Join:
         if asked.isEmpty():
             return
         sets = self.sets(asked.select("a", "b"))
-        self.connect(self.verify(asked, sets))
+        done = self.verify(asked, sets)
+        self.connect(done)
         known = self.component.select(F.col("node").alias("cls"), F.col("component").alias("known"))
         owned = refs.join(known, "cls", "left").withColumn("component", F.coalesce("known", "cls")).select("cls", "ref", "component")
         main = owned.filter("cls = ref").select("ref", F.col("component").alias("main"))
         owned = saved(owned.join(main, "ref").withColumn("inside", F.col("component") == F.col("main")))
         left = saved(owned.filter("cls <> ref").join(owned.filter("not inside").select("ref").distinct(), "ref", "left_semi").select("cls", "ref", "inside"))
+        far = done.select(F.col("a").alias("cls"), F.col("b").alias("ref"), (F.col("n") + F.col("m") - 2 * F.col("overlap")).alias("d")).join(left, ["cls", "ref"])
+        least = saved(far.groupBy("ref").agg(F.min("d").alias("nearest"), F.min(F.expr("if(inside, null, d)")).alias("nearest_out")))
         led = saved(sets.select(F.col("cls").alias("ref"), F.col("held").alias("r")).join(left.select("ref").distinct(), "ref", "left_semi"))
         small = (led.agg(F.sum(F.length("r"))).first()[0] or 0) <= REFERENCE_BYTES
-        both = sets.select("cls", F.col("held").alias("x")).join(small_or_shuffled(left), "cls").join(led.hint("broadcast") if small else led, "ref")
+        both = sets.select("cls", F.col("held").alias("x")).join(small_or_shuffled(left.join(least, "ref")), "cls").join(led.hint("broadcast") if small else led, "ref")
         frequent = self.texts.sparkSession.sparkContext.broadcast(_ranked(both.select("ref", "x", "r").mapInArrow(_shared_differences, "key bigint, n bigint"), "key"))
-        d = saved(both.select("cls", "ref", "inside", "x", "r").mapInArrow(_differences(frequent), "ref bigint, token bigint, cls bigint, n bigint, a bigint, pos bigint, short boolean, long boolean"))
+        d = saved(both.select("cls", "ref", "inside", "nearest", "nearest_out", "x", "r").mapInArrow(_differences(frequent), "ref bigint, token bigint, cls bigint, n bigint, a bigint, pos bigint, short boolean, long boolean"))
         discard(sets, led)
         d = d.join(owned.select("cls", "component", "inside"), "cls")
         out = d.filter("long").select("ref", "token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("pos").alias("xp"), F.col("component").alias("xk"))
