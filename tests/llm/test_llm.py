@@ -356,6 +356,38 @@ def test_spellings_add_up():
     assert math.isclose(np.exp(total).sum(), 1, rel_tol=1e-6)
 
 
+def test_contexts_do_not_collide():
+    """However many contexts there are, each has its own node and counts."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 12))).encode() for _ in range(60_000)})
+    e = np.zeros(len(words), context_mixing.TOKEN)
+    e["length"], e["train"] = [len(w) for w in words], np.arange(len(words)) % 3 > 0
+    text = np.frombuffer(b"".join(words), "u1")
+    _, _, contexts = context_mixing.spell(e, text)
+    for _, gate, _, nodes in context_mixing.events(e, text):
+        for k in range(context_mixing.PREDICTORS):
+            assert len(np.unique(nodes[k])) == len(np.unique((contexts[k] & ~np.uint64(255)) | gate.astype("u8")))
+
+
+def test_context_counts_are_of_the_whole_corpus(spark):
+    """Each bucket of words gets, for the words so far that its words have, the counts of all training words."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))).encode() for _ in range(400)})
+    rows = []
+    for b in range(4):
+        mine = words[b::4]
+        e = np.zeros(len(mine), context_mixing.TOKEN)
+        e["length"], e["train"] = [len(w) for w in mine], [zlib.crc32(w) % 4 for w in mine]
+        rows.append((b, bytearray(e.tobytes()), bytearray(b"".join(mine))))
+    want = collections.Counter((w[:i], (w + b" ")[i]) for w in words if zlib.crc32(w) % 4 for i in range(len(w) + 1))
+    for r in context_mixing.with_contexts(spark.createDataFrame(rows, "bucket bigint, fixed binary, spelled binary"), 5).collect():
+        e, text = np.frombuffer(r.fixed, context_mixing.TOKEN), np.frombuffer(r.spelled, "u1")
+        known = np.frombuffer(r.follows, context_mixing.FOLLOWS)
+        _, _, key = context_mixing.follows(e, text)
+        spots = [(w[:i], (w + b" ")[i]) for w in words[r.bucket :: 4] for i in range(len(w) + 1)]
+        assert known["n"][np.searchsorted(known["key"], key[5])].tolist() == [want[s] for s in spots]
+
+
 def test_language_model_edges(edges, none):
     rows = context_mixing.score_documents(edges).collect()
     assert len(rows) == len(EDGES) and all(math.isfinite(r.score) for r in rows)
