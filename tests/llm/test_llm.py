@@ -388,6 +388,20 @@ def test_context_counts_are_of_the_whole_corpus(spark):
         assert known["n"][np.searchsorted(known["key"], key[5])].tolist() == [want[s] for s in spots]
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """One mixer learns from all training words, however they are dealt to buckets."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "3"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r.id: r.score for r in context_mixing.score_documents(docs).select("id", "score").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert all(math.isclose(x, found[1][i], rel_tol=1e-9) for i, x in found[0].items())
+
+
 def test_language_model_edges(edges, none):
     rows = context_mixing.score_documents(edges).collect()
     assert len(rows) == len(EDGES) and all(math.isfinite(r.score) for r in rows)
