@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .ship import ship
@@ -438,6 +439,16 @@ class _Join:
             known = done if known is None else known.union(done)
             self.connect(done)
 
+    def all_links(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Every link between classes, also within a component: all candidates of short (pairs) and long lists are verified."""
+        other = lists.select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"))
+        met = lists.join(other, "token").filter("cls < xc and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)")
+        near = self.near(pairs.select("a", "b").union(met.select(F.col("cls").alias("a"), F.col("xc").alias("b"))).distinct().withColumn("w", F.lit(1).cast("bigint")))
+        sets = self.sets(near)
+        done = self.verify(near, sets)
+        discard(near, sets)
+        return done.filter("7 * overlap >= 3 * (n + m)").select("a", "b")
+
     def open(self, lists: DataFrame) -> DataFrame:
         """token, cls, size, pos, component, main: the lists that are not yet one component; main is the largest there."""
         part = lists
@@ -490,9 +501,10 @@ class _Join:
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
     """Connected near-duplicate groups of all documents under a Jaccard similarity of at least 0.75 on five-word shingles.
 
-    Returns ``id, n_shingles, component_id, cls``: one row for each input row; component_id is the least id
-    that links reach, itself included. ``cls`` keys equal sets. With ``pairs`` it returns instead the verified
-    links between classes, as ``a, b`` (classes connected through others need no link of their own).
+    Returns ``id, n_shingles, component_id, cls, component``: one row for each input row; component_id is the least
+    id that links reach, itself included. ``cls`` keys equal sets, ``component`` connected ones (null for empty sets).
+    With ``pairs`` it returns instead every link between different classes, as ``a, b``, also where others connect
+    the two; only component ids go without verifying the pairs inside a component.
 
     Null and empty texts have an empty set: size 0, linked with nothing, their own component. A null id is
     never a component's least id unless all are null. Rows that repeat share class and component. Columns
@@ -515,6 +527,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = held.filter("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("id").alias("id"))
     classes = saved(classes)
     state = _Join(texts, classes)
+    if pairs:
+        return state.all_links(met.filter("not long"), lists)
     # each class of a long list with its leaders, of its own band of sizes and of the two beside it
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3)))
     central = lists.groupBy("cls").agg(F.count("*").alias("lists"))
@@ -546,15 +560,40 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     state.settle(both.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
 
-    if pairs:
-        return (state.links if state.links is not None else spark.createDataFrame([], "a bigint, b bigint")).distinct()
     if state.component is None:
         grouped = classes.select("cls", F.col("cls").alias("component"))
     else:
         grouped = classes.join(state.component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
     grouped = classes.select("cls", "id").join(grouped, "cls")
     named = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = saved(grouped.join(named, "component").select("cls", "component_id"))
+    named = saved(grouped.join(named, "component").select("cls", "component_id", "component"))
     filled = held.filter("n_shingles > 0").join(small_or_shuffled(named), "cls", "left")
     empty = held.filter("n_shingles = 0")
-    return filled.select("id", "n_shingles", "component_id", "cls").union(empty.select("id", "n_shingles", F.col("id").alias("component_id"), "cls"))
+    none = F.lit(None).cast("bigint").alias("component")
+    return filled.select("id", "n_shingles", "component_id", "cls", "component").union(empty.select("id", "n_shingles", F.col("id").alias("component_id"), "cls", none))
+
+
+def with_class(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with the class key of each row's set in a further column."""
+    ship(docs.sparkSession)
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, _, _, cls in _sets(batch.column(text_at)):
+                columns = batch.slice(at, to - at).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cls.view("i8"))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, cls, n_links`` of every row: n_links other rows have a set that links with its own, copies counted each. Empty sets have none."""
+    links = saved(ngram_jaccard_join(docs, id_col, text_col, pairs=True))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = saved(with_class(rows, "cls").withColumn("empty", F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*\z")).drop("text"))
+    copies = saved(held.filter("not empty").groupBy("cls").agg(F.count("*").alias("copies")))
+    ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
+    more = ends.join(copies.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("copies").alias("others"))
+    total = copies.join(more, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return held.join(small_or_shuffled(total), "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -16,7 +16,7 @@ from joinwright.llm import context_mixing, inner_products, packing, quality, reg
 from joinwright.llm.components import components
 from joinwright.llm.exact_dedup import exact_dedup
 from joinwright.llm.mixing import mix_sources, mixed_documents
-from joinwright.llm.ngram_join import _needed, list_pairs, ngram_jaccard_join
+from joinwright.llm.ngram_join import _needed, link_counts, list_pairs, ngram_jaccard_join
 from joinwright.llm.tokens import default_path, token_counts
 
 SF = "/root/testdata/sf0.01"
@@ -118,6 +118,29 @@ def test_ngram_join_long_lists(spark):
     assert sorted(map(tuple, got.select("id", "n_shingles", "component_id").collect())) == brute_components(rows)
 
 
+def test_ngram_links_are_whole(spark):
+    """All links, also among classes that others connect, in a long list; counts go by copies."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(100)]
+    docs = [" ".join(base)]
+    for _ in range(40):
+        w = list(base)
+        for i in rng.sample(range(100), rng.choice((1, 2))):
+            w[i] = word()
+        docs.append(" ".join(w))
+    docs += [docs[3]] * 4 + [None, " \t", "lone words only here now"]
+    rows = list(enumerate(docs))
+    sets = [shingle_set(t) for t in docs]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: (r.cls, r.n_links) for r in link_counts(df).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: sum(linked(s, t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    want = {frozenset((got[i][0], got[j][0])) for i in range(len(docs)) for j in range(i) if linked(sets[i], sets[j]) and sets[i] != sets[j]}
+    found = [frozenset((r.a, r.b)) for r in ngram_jaccard_join(df, pairs=True).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_ngram_join_edges(edges, none):
     got = [tuple(r) for r in ngram_jaccard_join(edges).select("id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=repr) == sorted(brute_components([(r[0], r[1]) for r in EDGES]), key=repr)
