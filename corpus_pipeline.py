@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from joinwright.llm.exact_dedup import exact_dedup, normalised
 from joinwright.llm.mixing import mixed_documents
-from joinwright.llm.ngram_join import ngram_jaccard_join
+from joinwright.llm.ngram_join import ngram_jaccard_join, with_class
 from joinwright.llm.packing import pack
 from joinwright.llm.storage import saved, small_or_shuffled
 from joinwright.llm.toxicity import fit, score_toxicity
@@ -44,10 +44,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate group; documents without words, or without an id, all stay."""
-    groups = ngram_jaccard_join(docs)
-    gone = saved(groups.filter("n_shingles > 0 and id <> component_id").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group, of the least id (a null one last); documents without words all stay."""
+    held = saved(ngram_jaccard_join(docs).filter("n_shingles > 0").groupBy("component", "id", "cls").agg(F.count("*").alias("k")))
+    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls")).alias("p"), F.sum("k").alias("rows")).filter("rows > 1")
+    marked = held.join(best, "component").select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__id"), F.col("cls").alias("__cls"), (F.col("id").eqNullSafe(F.col("p.id")) & (F.col("cls") == F.col("p.cls"))).alias("best"), "k")
+    marked = saved(marked)
+    key = with_class(docs, "__cls").withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    left = key.join(small_or_shuffled(marked.filter("not best").select("__id", "__cls")), ["__id", "__cls"], "left_anti")
+    again = marked.filter("best and k > 1").select("__id", "__cls")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    # equal sets under one id: the longest text stays
+    longest = left.join(small_or_shuffled(again), ["__id", "__cls"], "left_semi").groupBy("__id", "__cls").agg(F.max_by(F.struct(*docs.columns), F.char_length("text")).alias("r"))
+    return left.join(small_or_shuffled(again), ["__id", "__cls"], "left_anti").select(*docs.columns).unionByName(longest.select("r.*"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -515,6 +515,18 @@ def test_pipeline(spark, library):
     assert sum(r.length for r in rows) == sum((len(i) + 1) * copies[d] for d, i in zip(text, library_ids(library, text.values()), strict=True) if d in copies)
 
 
+def test_near_copies_by_row(spark):
+    """One row of each group stays where ids repeat or are null, and a clean text under a repeated id stays."""
+    import corpus_pipeline as p
+
+    a, b, clean = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, clean), (None, b), (None, b + " tail"), (None, b), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted(((r.doc_id, r.text) for r in p.near_copies(spark, docs, SMALL).collect()), key=repr)
+    assert len(left) == 5 and left[:4] == sorted([(1, a), (2, clean), (3, ""), (3, "")], key=repr)
+    assert left[4][0] is None and left[4][1].startswith(b)
+
+
 def test_pipeline_edges(spark, none):
     import corpus_pipeline as p
 
