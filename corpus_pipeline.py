@@ -22,9 +22,9 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.3 or more."""
+    """Drops documents that score 0.3 or more; without a vocabulary, which is no evidence against any, all stay."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, keep=docs.columns)
+    return score_toxicity(docs, model, keep=docs.columns) if len(model.index.terms) else docs
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

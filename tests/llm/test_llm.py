@@ -515,6 +515,14 @@ def test_pipeline(spark, library):
     assert sum(r.length for r in rows) == sum((len(i) + 1) * copies[d] for d, i in zip(text, library_ids(library, text.values()), strict=True) if d in copies)
 
 
+def test_toxicity_stage_without_labels(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(EDGES, DOC)
+    assert p.toxicity(spark, docs, str(tmp_path)).count() == len(EDGES)
+
+
 def test_near_copies_by_row(spark):
     """One row of each group stays where ids repeat or are null, and a clean text under a repeated id stays."""
     import corpus_pipeline as p
