@@ -7,14 +7,14 @@ the stages that drop documents come before the mix, and copies that the mix emit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.exact_dedup import exact_dedup, normalised
 from joinwright.llm.mixing import mixed_documents
-from joinwright.llm.ngram_join import ngram_jaccard_join, with_class
+from joinwright.llm.ngram_join import ngram_jaccard_join, with_key
 from joinwright.llm.packing import pack
-from joinwright.llm.storage import saved, small_or_shuffled
+from joinwright.llm.storage import own_names, quoted, saved, small_or_shuffled
 from joinwright.llm.toxicity import fit, score_toxicity
 
 #: Toxicity scores are no SQL, so the pipeline is tested against brute force.
@@ -27,36 +27,46 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=docs.columns) if len(model.index.terms) else docs
 
 
+def one_of_each(docs: DataFrame, keyed: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """docs without the rows of ``gone`` that aren't marked ``again``; of those so marked, which repeat, the longest text stays.
+
+    keyed: docs with the columns ``names``; gone: these, and ``again``. Only keys move, but for rows that repeat.
+    """
+    columns = quoted(docs.columns)
+    gone = saved(gone)
+    left = keyed.join(small_or_shuffled(gone.filter("not again").select(*names)), names, "left_anti")
+    again = gone.filter("again").select(*names)
+    if again.isEmpty():
+        return left.select(*columns)
+    longest = left.join(small_or_shuffled(again), names, "left_semi").groupBy(*names).agg(F.max_by(F.struct(*columns), F.char_length("text")).alias("r"))
+    return left.join(small_or_shuffled(again), names, "left_anti").select(*columns).unionByName(longest.select("r.*"))
+
+
+def id_text(id_: Column) -> Column:
+    return F.coalesce(id_.cast("string"), F.lit("null"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts: the one with the most code points, then the least id.
 
     Rows that repeat id and text are one group too, of which one row stays.
     """
+    sha, id_ = names = own_names(docs, "sha", "id")
     groups = exact_dedup(docs).filter("group_size > 1 and not kept")
-    key = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256)).withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    gone = saved(groups.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct())
-    left = key.join(small_or_shuffled(gone.filter("not __again").select("__id", "__sha")), ["__id", "__sha"], "left_anti")
-    again = saved(gone.filter("__again").select("__id", "__sha"))
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    longest = left.join(small_or_shuffled(again), ["__id", "__sha"], "left_semi").groupBy("__id", "__sha").agg(F.max_by(F.struct(*docs.columns), F.char_length("text")).alias("r"))
-    return left.join(small_or_shuffled(again), ["__id", "__sha"], "left_anti").select(*docs.columns).unionByName(longest.select("r.*"))
+    gone = groups.select(id_text(F.col("id")).alias(id_), F.col("text_sha256").alias(sha), F.col("id").eqNullSafe(F.col("keep_id")).alias("again")).distinct()
+    keyed = docs.withColumn(sha, F.sha2(normalised(F.col("text")).cast("binary"), 256)).withColumn(id_, id_text(F.col("doc_id")))
+    return one_of_each(docs, keyed, gone, names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, of the least id (a null one last); documents without words all stay."""
-    held = saved(ngram_jaccard_join(docs).filter("n_shingles > 0").groupBy("component", "id", "cls").agg(F.count("*").alias("k")))
-    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls")).alias("p"), F.sum("k").alias("rows")).filter("rows > 1")
-    marked = held.join(best, "component").select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__id"), F.col("cls").alias("__cls"), (F.col("id").eqNullSafe(F.col("p.id")) & (F.col("cls") == F.col("p.cls"))).alias("best"), "k")
-    marked = saved(marked)
-    key = with_class(docs, "__cls").withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    left = key.join(small_or_shuffled(marked.filter("not best").select("__id", "__cls")), ["__id", "__cls"], "left_anti")
-    again = marked.filter("best and k > 1").select("__id", "__cls")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    # equal sets under one id: the longest text stays
-    longest = left.join(small_or_shuffled(again), ["__id", "__cls"], "left_semi").groupBy("__id", "__cls").agg(F.max_by(F.struct(*docs.columns), F.char_length("text")).alias("r"))
-    return left.join(small_or_shuffled(again), ["__id", "__cls"], "left_anti").select(*docs.columns).unionByName(longest.select("r.*"))
+    key, id_ = names = own_names(docs, "key", "id")
+    held = saved(ngram_jaccard_join(docs).filter("n_shingles > 0").groupBy("component", "id", "key").agg(F.count("*").alias("k")))
+    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("p"), F.sum("k").alias("rows")).filter("rows > 1")
+    stays = F.col("id").eqNullSafe(F.col("p.id")) & (F.col("key") == F.col("p.key"))
+    marked = held.join(small_or_shuffled(saved(best)), "component").filter(~stays | (F.col("k") > 1))
+    gone = marked.select(id_text(F.col("id")).alias(id_), F.col("key").alias(key), stays.alias("again"))
+    return one_of_each(docs, with_key(docs, key).withColumn(id_, id_text(F.col("doc_id"))), gone, names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

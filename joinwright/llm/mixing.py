@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved, small_or_shuffled
+from .storage import own_names, quoted, saved, small_or_shuffled
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -44,10 +44,11 @@ def source_rates(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -
     return by.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def coin(id_: Column, seed: int) -> Column:
-    """A number in [0, 1) from the md5 of id and seed: the same in every run, on any engine."""
-    text = F.concat(F.coalesce(id_.cast("string"), F.lit("null")), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def coin(id_: Column, seed: int, text: Column) -> Column:
+    """A number in [0, 1) from the md5 of id and seed, or of the text and seed where the id is null: the same in every run, on any engine."""
+    name = F.coalesce(id_.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    whole = F.concat(name, F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -58,21 +59,24 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, see
     all rows is no hot group, and the few rates are joined back (broadcast if few by count). Texts aren't shuffled.
 
     A null text has size 0; a null source is a source of its own, after all others; sources of size 0 get
-    target 0. Rows that repeat have the same coin. Other columns are not read. An empty table gives an empty one.
+    target 0. Rows that repeat have the same coin; rows without an id have that of their text. Other columns are not
+    read. An empty table gives an empty one.
     """
-    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(F.col(text_col).cast("string")).alias("size")))
+    text = F.col(text_col).cast("string")
+    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text).alias("size"), coin(F.col(id_col), seed, text).alias("coin")))
     rates = saved(source_rates(sized, weights, most)).withColumnRenamed("source", "of")
     joined = sized.join(small_or_shuffled(rates), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    copies = F.floor("rate") + (coin(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("bigint")
-    return joined.withColumn("copies", copies.cast("bigint"))
+    copies = F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("bigint")
+    return joined.withColumn("copies", copies.cast("bigint")).drop("coin")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: docs' columns, each row as often as ``mix_sources`` takes it."""
+    """The mix itself: docs' columns, whatever their names, each row as often as ``mix_sources`` takes it."""
+    of, n = own_names(docs, "rate", "n")
     sized = docs.select(F.col(source_col).cast("string").alias("source"), text_size(F.col(text_col).cast("string")).alias("size"))
-    rates = saved(source_rates(sized, weights, most)).select(F.struct("source", "rate").alias("__rate"))
-    joined = docs.join(small_or_shuffled(rates), F.col(source_col).cast("string").eqNullSafe(F.col("__rate.source")))
-    rate = F.col("__rate.rate")
-    copies = F.floor(rate) + (coin(F.col(id_col), seed) < rate - F.floor(rate)).cast("bigint")
-    names = [f"`{c}`" for c in docs.columns]
-    return joined.withColumn("__n", copies.cast("int")).filter("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    rates = saved(source_rates(sized, weights, most)).select(F.struct("source", "rate").alias(of))
+    joined = docs.join(small_or_shuffled(rates), F.col(source_col).cast("string").eqNullSafe(F.col(of)["source"]))
+    rate = F.col(of)["rate"]
+    copies = F.floor(rate) + (coin(F.col(id_col), seed, F.col(text_col)) < rate - F.floor(rate)).cast("bigint")
+    many = joined.withColumn(n, copies.cast("int")).filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return many.select(*quoted(docs.columns))

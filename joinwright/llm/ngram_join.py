@@ -3,62 +3,53 @@
 A document's set holds its distinct five-word shingles. Two sets link when 100 * |intersection| >= 75 *
 |union|. The join is exact over all sets:
 
-1. One scan reduces each document to its size, a 64-bit class key of the whole set (equal sets are one
-   class, so copies are never paired) and a parity bitmap of two to four bits a shingle. It also counts shingles that are
-   frequent within blocks, to order them last. The order only serves speed; any common order is exact.
+1. One scan reduces each document to the size and the 128-bit key of its set (equal sets are one class, so copies
+   are never paired), and counts shingles that several sets of a task share, to order those last. The order only
+   serves speed; any common order is exact.
 2. A second scan emits each set's prefix under that order: two linked sets share a shingle of their prefixes.
-   Entries (shingle, class, size, position) meet in hash buckets. Within a list, entries form blocks by
-   position; a pair of blocks whose positions and sizes cannot give the needed overlap is skipped whole.
-   Lists longer than LIST, and all frequent shingles, first yield only pairs of each class with the
-   list's leaders: of each band of sizes, the class that is in the most such lists.
-3. Pairs whose bitmaps differ in more bits than linked sets can differ are dropped. The others are verified on
-   full sets: in two rounds each class with the class it shares most lists with (its leader) among those
-   not yet connected to it, then whatever is still apart. A member's overlap with another set is bounded by
-   its leader's computed overlap plus the shingles the leader lacks; pairs that this rules out are never read.
-4. Long lists whose classes are all connected by then are done: nothing in them can change the answer. In the
-   others, each class is compared with one similar set, its reference, and those of one reference meet by what sets
-   them apart from it: classes outside the reference's component look for the rest in an index of differences
-   (see ``_differences``), so that a group of near copies of one text doesn't meet in pairs.
-5. Classes of different references, where still apart, meet in the open lists: those outside the list's largest
-   component meet the rest, and their pairs are verified likewise. A passage gives both classes of a pair a run of
-   such lists; the pair comes from the first list of the run only. That is exact: all orders agree, so whatever a
-   later list allows, the first one allows.
-
-Connections come from distributed rounds; no task or driver holds a list, a group or a component whole.
+   The entry of a shingle at position p of a set of n has a reach, floor((4 n - 7 p) / 3): the largest set that, where
+   this is the first shared shingle, can still link. So two entries of a list are a candidate only where each one's size
+   is within the other's reach. Lists of at most LIST entries are compared at once; the others are cut into blocks by
+   size and reach, and pairs of blocks out of reach are skipped whole (see ``Join.met``).
+3. First each class is verified with the leader of its lists, the class that is in most of them, and with whatever it
+   meets in short lists. That connects nearly all of what is connected.
+4. Lists that lie in one component are done. In the others only blocks of different components meet. A
+   pair's answer is derived, where that decides it, from the computed answers of the class's leader: of the overlap of x
+   and y, what lies in the leader is between |x & l| + |l & y| - |l| and |l & y|, and at most |x| - |x & l| lies outside.
+   Only pairs that this leaves open are verified on their full sets.
+
+Connections come from distributed rounds; no task or driver holds a list, a group or a component whole. What is
+broadcast is bounded by constants: FREQUENT shingles, and a filter of FILTER bits.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .ship import ship
 from .storage import bucket_count, discard, saved, small_or_shuffled
 from .words import blocks, constants, distinct, find_words, mix, packed, shingles
 
-#: Least bits of a bitmap; larger sets have at least twice as many bits as shingles.
-BITS = 1024
-#: All pairs of a list are looked at up to this length; longer lists go by steps 2, 4 and 5.
-LIST = 16
-#: Entries in a block of an index list.
-POSITIONS = 4
-#: A shingle that this many sets share, of a span of so many prefix shingles, counts as frequent.
-FREQUENT_SETS = 3
-SPAN = 2_000_000
-#: Earlier lists that an entry of an open list carries, to tell the first of a run of lists. It serves speed only.
-BEFORE = 8
+#: Lists of so many entries are compared entry by entry where they meet; longer ones go by blocks.
+LIST = 8
 #: Bound of the broadcast order: the most frequent shingles, sixteen bytes each. It serves speed only.
-FREQUENT = 1_000_000
-#: Reference sets are broadcast up to so many bytes; beyond, they are joined by a shuffle.
-REFERENCE_BYTES = 32 << 20
-#: Bound of the broadcast list of classes whose sets are read; with more, every class's set is shuffled.
-NEEDED = 2_000_000
+FREQUENT = 1 << 18
+#: Shingles that a task counts at a time; of these, those that more than one set holds are sent.
+SPAN = 4_000_000
+#: Entries of shingles that so many sets were seen to share go by class, not by shingle, so that no bucket is hot.
+HOT = 64
+#: Bits of the broadcast filter of classes whose sets are read. What passes by chance is dropped by a join.
+FILTER = 1 << 23
+#: Sizes and reaches of a block are within this factor.
+BAND = 1.06
 
 ENTRY = np.dtype([("token", "u8"), ("cls", "u8"), ("size", "u4"), ("pos", "u4")])
 
@@ -68,214 +59,214 @@ def _needed(a, b):
     return -(-3 * (a + b) // 7)
 
 
+def prefix_length(n):
+    """Shingles of a set of n of which a linked set shares one."""
+    return n - -(-3 * n // 4) + 1
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of text: first row, end row, shingles, bounds, class keys."""
-    k = constants(3, 41)
+    """For each block of text: first row, end row, shingles, bounds, class keys as rows of two uint64."""
+    k = constants(4, 41)
     for at, to, data, offsets in blocks(column):
         held, bounds = shingles(find_words(data, offsets, fold=True), to - at)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(held ^ k[0]))])
         more = np.concatenate([[np.uint64(0)], np.cumsum(mix(held + k[1]))])
-        cls = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(more[bounds[1:]] - more[bounds[:-1]] + k[2]))
-        yield at, to, held, bounds, cls
+        one, two = sums[bounds[1:]] - sums[bounds[:-1]], more[bounds[1:]] - more[bounds[:-1]]
+        yield at, to, held, bounds, np.stack([mix(one ^ mix(two + k[2])), mix(two ^ mix(one + k[3]))], axis=1)
 
 
-def _parity(held: np.ndarray) -> bytes:
-    """A bitmap in which each shingle flips one bit; its length is a power of two that depends on the size alone."""
-    bits = max(BITS, 1 << int(2 * len(held) - 1).bit_length()) if len(held) else BITS
-    flips = np.bincount((held & np.uint64(bits - 1)).astype("i8"), minlength=bits)
-    return np.packbits((flips & 1).astype("u1"), bitorder="little").tobytes()
+def _keys(keys: np.ndarray) -> list[bytes]:
+    whole = np.ascontiguousarray(keys).tobytes()
+    return [whole[i : i + 16] for i in range(0, len(whole), 16)]
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows that hold only shingles that FREQUENT_SETS of a span of blocks share.
+class _Counter:
+    """Counts the shingles of different sets in spans; each span yields (hash bucket, tokens and counts) of those that several hold."""
 
-    Counted are different sets of a block, and of each the lower quarter by hash: what could stand in a prefix.
-    """
-    kept, size = [], 0
+    def __init__(self, buckets: int):
+        self.buckets, self.kept, self.size, self.seen = buckets, [], 0, set()
 
-    def often() -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate(kept))
-        cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, "i8")
-        at = np.flatnonzero(np.diff(cuts) >= FREQUENT_SETS)
-        counts = np.empty((len(at), 2), "i8")
-        counts[:, 0], counts[:, 1] = tokens[cuts[at]].view("i8"), np.diff(cuts)[at]
-        return _rows([None], [None], [None], [None], [counts.tobytes()])
+    def add(self, held: np.ndarray, bounds: np.ndarray, keys: list[bytes]) -> None:
+        for i, key in enumerate(keys):
+            if key not in self.seen and bounds[i] < bounds[i + 1]:
+                self.seen.add(key)
+                self.kept.append(held[bounds[i] : bounds[i + 1]])
+                self.size += len(self.kept[-1])
 
-    for batch in batches:
-        for at, to, held, bounds, cls in _sets(batch.column(1)):
-            bits = [_parity(held[bounds[i] : bounds[i + 1]]) for i in range(to - at)]
-            _, first, _ = distinct(cls)
-            for i in first:
-                n = int(bounds[i + 1] - bounds[i])
-                kept.append(held[bounds[i] : bounds[i] + n - -(-3 * n // 4) + 1] if n else held[:0])
-                size += len(kept[-1])
-            yield _rows(batch.column(0).slice(at, to - at), np.diff(bounds), cls.view("i8"), bits, [None] * (to - at))
-            if size > SPAN:
-                yield often()
-                kept, size = [], 0
-    if kept:
-        yield often()
-
-
-def _rows(*columns) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_shingles", "cls", "bits", "often"])
-
-
-def _frequent_rows(batches):
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            c = np.frombuffer(blob, "i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1])], names=["token", "n"])
+    def often(self) -> Iterator[tuple[int, bytes]]:
+        if self.kept:
+            tokens = np.sort(np.concatenate(self.kept))
+            cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+            at = np.flatnonzero(np.diff(cuts) > 1)
+            counts = np.empty((len(at), 2), "u8")
+            counts[:, 0], counts[:, 1] = tokens[cuts[at]], np.diff(cuts)[at]
+            yield from packed((mix(counts[:, 0]) % np.uint64(self.buckets)).astype("i8"), counts)
+        self.kept, self.size, self.seen = [], 0, set()
+
+
+def _summaries(buckets: int):
+    """A row for each document, and rows that hold only shared shingles with their counts."""
+
+    def rows(*columns) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_shingles", "key", "cls", "bucket", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(buckets)
+
+        def often() -> Iterator[pa.RecordBatch]:
+            if sent := list(counter.often()):
+                none = [None] * len(sent)
+                yield rows(none, none, none, none, [b for b, _ in sent], [x for _, x in sent])
+
+        for batch in batches:
+            for at, to, held, bounds, cls in _sets(batch.column(1)):
+                keys = _keys(cls)
+                counter.add(held, bounds, keys)
+                none = [None] * (to - at)
+                yield rows(batch.column(0).slice(at, to - at), np.diff(bounds), keys, np.ascontiguousarray(cls[:, 0]).view("i8"), none, none)
+                if counter.size > SPAN:
+                    yield from often()
+        yield from often()
+
+    return run
+
+
+def _summed(key, pdf):
+    """Shingles of a bucket with their counts over all spans."""
+    import pandas as pd
+
+    c = np.concatenate([np.frombuffer(x, "u8").reshape(-1, 2) for x in pdf["often"]])
+    u, _, place = distinct(c[:, 0].copy())
+    return pd.DataFrame({"token": u.view("i8"), "n": np.bincount(place, weights=c[:, 1], minlength=len(u)).astype("i8")})
+
+
+def _order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles, FREQUENT at most: sorted, the rank of each by ascending count, and whether it is hot."""
+    step = lambda n: F.floor(F.log2(n) * 16)  # noqa: E731  finely graded, so the rows of the histogram are few
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step(F.col("n")).alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > FREQUENT:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, bool)
+    got = counts.filter(step(F.col("n")) >= least).select("token", "n").toArrow()
+    token, n = got.column("token").to_numpy().view("u8"), got.column("n").to_numpy()
+    rank = np.empty(len(token), "i8")
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    by = np.argsort(token)
+    return token[by], rank[by], n[by] >= HOT
 
 
 def _prefixes(buckets: int, frequent):
-    """Emits buckets of ENTRY blobs, by shingle; entries of frequent shingles go by class to buckets under 0, so that none is hot."""
+    """Emits buckets of ENTRY blobs, by shingle; entries of hot shingles go by class to buckets under 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = frequent.value  # sorted tokens, and the rank of each by ascending count
+        order, ranks, hots = frequent.value
+        sent = set()
         for batch in batches:
             for _, _, held, bounds, cls in _sets(batch.column(0)):
-                _, first, _ = distinct(cls)
-                found = []
-                for i in first:
-                    s = held[bounds[i] : bounds[i + 1]]
-                    n = len(s)
-                    if not n:
+                keys, found, hot = _keys(cls), [], []
+                if len(order):
+                    at = np.minimum(np.searchsorted(order, held), len(order) - 1)
+                    known = order[at] == held
+                    rank, is_hot = np.where(known, ranks[at] + 1, 0), known & hots[at]
+                else:
+                    rank, is_hot = np.zeros(len(held), "i8"), np.zeros(len(held), bool)
+                for i, key in enumerate(keys):
+                    b = slice(bounds[i], bounds[i + 1])
+                    n = b.stop - b.start
+                    if not n or key in sent:
                         continue
-                    take = n - -(-3 * n // 4) + 1
-                    rank = np.zeros(n, "i8")
-                    if len(order[0]):
-                        at = np.minimum(np.searchsorted(order[0], s), len(order[0]) - 1)
-                        rank = np.where(order[0][at] == s, order[1][at] + 1, 0)
-                        if rank.any():
-                            by = np.argsort(rank, kind="stable")
-                            s, rank = s[by], rank[by]
+                    if len(sent) < 200_000:
+                        sent.add(key)
+                    take = prefix_length(n)
+                    first = np.argsort(rank[b], kind="stable")[:take]
                     e = np.empty(take, ENTRY)
-                    e["token"], e["cls"], e["size"], e["pos"] = s[:take], cls[i], n, np.arange(take)
-                    found.append((e, rank[:take] > 0))
+                    e["token"], e["cls"], e["size"], e["pos"] = held[b][first], cls[i, 0], n, np.arange(take)
+                    found.append(e)
+                    hot.append(is_hot[b][first])
                 if found:
-                    e = np.concatenate([x for x, _ in found])
-                    hot = np.concatenate([x for _, x in found])
-                    bucket = (mix(np.where(hot, e["cls"], e["token"])) % np.uint64(buckets)).astype("i8")
-                    bucket = np.where(hot, -1 - bucket, bucket)
-                    rows = list(packed(bucket, e))
+                    e, h = np.concatenate(found), np.concatenate(hot)
+                    bucket = (mix(np.where(h, e["cls"], e["token"])) % np.uint64(buckets)).astype("i8")
+                    rows = list(packed(np.where(h, -1 - bucket, bucket), e))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
-def _cross(a0, an, b0, bn):
-    """Index pairs of the products of runs [a0, a0 + an) x [b0, b0 + bn)."""
-    size = an * bn
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    width = np.repeat(bn, size)
-    return np.repeat(a0, size) + at // width, np.repeat(b0, size) + at % width
+def reach(size, pos):
+    """The largest set that a set may link with if their first shared shingle stands at this position of it."""
+    return (4 * size - 7 * pos) // 3
 
 
 def list_pairs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs (least class, other class) of entries sorted by (token, pos), and the lists that each pair shares."""
-    new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]])
-    begin = np.flatnonzero(new)
-    lst = np.cumsum(new) - 1
-    inside = np.arange(len(e)) - begin[lst]
-    b0 = np.flatnonzero(new | (inside % POSITIONS == 0))
-    bn = np.diff(np.append(b0, len(e)))
-    owner = lst[b0]
-    low_pos = e["pos"][b0].astype("i8")
-    small, large = np.minimum.reduceat(e["size"], b0).astype("i8"), np.maximum.reduceat(e["size"], b0).astype("i8")
+    """Distinct candidate pairs (least class, other class) of entries sorted by token, and the lists that each pair shares."""
+    if not len(e):
+        return np.zeros((0, 2), "i8"), np.zeros(0, "i8")
+    size, far = e["size"].astype("i8"), reach(e["size"].astype("i8"), e["pos"].astype("i8"))
+    begin = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
+    last = np.repeat(np.append(begin[1:], len(e)), np.diff(np.append(begin, len(e))))
     found = []
-    for shift in range(len(b0)):
-        x = np.arange(len(b0) - shift)
-        x = x[owner[x] == owner[x + shift]]
-        if not len(x):
+    at = np.arange(len(e))
+    for shift in range(1, len(e)):
+        at = at[at + shift < last[at]]
+        if not len(at):
             break
-        y = x + shift
-        # a block pair is skipped if even its best sizes and positions leave too little to overlap
-        most = 1 + np.minimum(large[x] - 1 - low_pos[x], large[y] - 1 - low_pos[y])
-        ok = (most >= _needed(small[x], small[y])) & (4 * large[x] >= 3 * small[y]) & (4 * large[y] >= 3 * small[x])
-        x, y = x[ok], y[ok]
-        for k in range(0, len(x), 4096):
-            i, j = _cross(b0[x[k : k + 4096]], bn[x[k : k + 4096]], b0[y[k : k + 4096]], bn[y[k : k + 4096]])
-            if not shift:
-                i, j = i[i < j], j[i < j]
-            si, sj = e["size"][i].astype("i8"), e["size"][j].astype("i8")
-            over = 1 + np.minimum(si - 1 - e["pos"][i], sj - 1 - e["pos"][j])
-            ok = (over >= _needed(si, sj)) & (4 * np.minimum(si, sj) >= 3 * np.maximum(si, sj))
-            a, b = e["cls"][i[ok]].view("i8"), e["cls"][j[ok]].view("i8")
-            p = np.empty((len(a), 2), "i8")
-            p[:, 0], p[:, 1] = np.minimum(a, b), np.maximum(a, b)
-            found.append(p[p[:, 0] != p[:, 1]])
+        i, j = at, at + shift
+        ok = (size[i] <= far[j]) & (size[j] <= far[i])
+        a, b = e["cls"][i[ok]].view("i8"), e["cls"][j[ok]].view("i8")
+        p = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+        found.append(p[p[:, 0] != p[:, 1]])
     p = np.concatenate(found) if found else np.zeros((0, 2), "i8")
     _, first, place = distinct(mix(np.ascontiguousarray(p[:, 0]).view("u8")) + np.ascontiguousarray(p[:, 1]).view("u8"))
     return p[first], np.bincount(place, minlength=len(first))
 
 
 def _meet(key, pdf):
-    """One bucket: weighted pairs of its short lists; entries of its long lists (long is then true). Buckets under 0 hold entries of frequent shingles."""
+    """One bucket: weighted pairs of its short lists; entries of its long lists (token is then set). Buckets under 0 hold entries of hot shingles."""
     import pandas as pd
 
     e = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["blob"]])
-    if int(key[0]) >= 0:
-        e = e[np.argsort(e["token"], kind="stable")]
-        count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]])))
-        e = e[np.repeat(count, count) > 1]  # most shingles stand alone
-    e = e[np.lexsort((e["cls"], e["pos"], e["token"]))] if len(e) else e
-    e = e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e  # copies of a set from other blocks
-    count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))) if len(e) else np.zeros(0, "i8")
-    here = np.repeat(count, count)
-    if int(key[0]) >= 0:
-        short, long = e[(here > 1) & (here <= LIST)], e[here > LIST]
-    else:
-        short, long = e[:0], e
-    p, w = list_pairs(short) if len(short) else (np.zeros((0, 2), "i8"), np.zeros(0, "i8"))
-    none = np.zeros(len(p), "i8")
-    pairs = pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "token": none, "size": w, "pos": none, "long": False})
-    col = {k: np.ascontiguousarray(long[k]) for k in ENTRY.names}
-    rest = pd.DataFrame({"a": col["cls"].view("i8"), "b": np.zeros(len(long), "i8"), "token": col["token"].view("i8"), "size": col["size"].astype("i8"), "pos": col["pos"].astype("i8"), "long": True})
+    hot = int(key[0]) < 0
+    e = e[np.argsort(e["token"], kind="stable")]
+
+    def lengths() -> np.ndarray:
+        count = np.diff(np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))) if len(e) else np.zeros(0, "i8")
+        return np.repeat(count, count)
+
+    e = e if hot else e[lengths() > 1]  # most shingles stand alone
+    e = e[np.lexsort((e["pos"], e["size"], e["cls"], e["token"]))]
+    e = e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e  # copies of a set from other tasks
+    here = lengths()
+    short, long = (e[:0], e) if hot else (e[(here > 1) & (here <= LIST)], e[here > LIST])
+    p, w = list_pairs(short)
+    pairs = pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "w": w})
+    pairs["token"] = pd.array([None] * len(p), "Int64")
+    rest = pd.DataFrame({"a": np.ascontiguousarray(long["cls"]).view("i8"), "b": long["size"].astype("i8"), "w": long["pos"].astype("i8"), "token": pd.array(np.ascontiguousarray(long["token"]).view("i8"), "Int64")})
     return pd.concat([pairs, rest])
 
 
-def _differ(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two bitmaps differ; the longer one is folded, which keeps parities."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _close(batches):
-    """Pairs whose bitmaps allow a link."""
-    for batch in batches:
-        n, m = (batch.column(k).to_numpy() for k in ("n", "m"))
-        differ = np.fromiter((_differ(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)), "i8", len(n))
-        # |x Δ y| = n + m - 2 overlap, and each shingle of it flips one bit
-        ok = (differ <= n + m - 2 * _needed(n, m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
-        yield batch.filter(pa.array(ok)).select(["a", "b", "n", "m", "w"])
-
-
-def _class_sets(wanted):
-    """One row for each class and task: its sorted shingles."""
+def _class_sets(filtered):
+    """One row for each class and task: its sorted shingles, of the classes that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = wanted.value if wanted is not None else None
-        seen: set[int] = set()
+        bits = filtered.value
+        seen: set[bytes] = set()
         for batch in batches:
             for _, _, held, bounds, cls in _sets(batch.column(0)):
                 rows = []
-                for i, c in enumerate(cls.view("i8").tolist()):
-                    if c in seen:
+                for i, key in enumerate(_keys(cls)):
+                    at = zlib.crc32(key) % FILTER
+                    if not bits[at >> 3] >> (at & 7) & 1 or key in seen:
                         continue
-                    if keys is not None:
-                        at = np.searchsorted(keys, c)
-                        if at == len(keys) or keys[at] != c:
-                            continue
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
-                    rows.append((c, held[bounds[i] : bounds[i + 1]].tobytes()))
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                    rows.append((key, held[bounds[i] : bounds[i + 1]].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["cls", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["key", "held"])
 
     return run
 
@@ -283,7 +274,6 @@ def _class_sets(wanted):
 def _overlaps(batches):
     for batch in batches:
         found = []
-        last, mine = None, None
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
             at = np.searchsorted(x, y)
@@ -291,81 +281,31 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), batch.column("m"), pa.array(found, pa.int64())], names=["a", "b", "n", "m", "overlap"])
 
 
-def _apart(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles that only x has, then those that only r has, and the number of the former."""
-    more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
-    return np.concatenate([more, less]), len(more)
-
+def _band(x: Column) -> Column:
+    return F.floor(F.log(x.cast("double")) / float(np.log(BAND))).cast("int")
 
-def _shared_differences(batches):
-    """(key, n): shingles of differences that FREQUENT_SETS classes of one reference and span share; a key mixes reference and shingle."""
-    kept, size = [], 0
 
-    def often() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(kept), return_counts=True)
-        at = np.flatnonzero(n >= FREQUENT_SETS)
-        return pa.RecordBatch.from_arrays([pa.array(keys[at].view("i8")), pa.array(n[at].astype("i8"))], names=["key", "n"])
+def met(entries: DataFrame) -> DataFrame:
+    """``a, b, n, m, w``: classes of different parts that meet within each other's reach in a list; entries: token, key, size, pos, part.
 
-    for batch in batches:
-        ref = mix(batch.column("ref").to_numpy().view("u8"))
-        for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
-            kept.append(mix(_apart(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8"))[0] ^ ref[i]))
-            size += len(kept[-1])
-            if size > SPAN:
-                yield often()
-                kept, size = [], 0
-    if kept:
-        yield often()
-
-
-def _differences(frequent):
-    """For each class, the start of its difference D from its reference: shingles that only one of the two has.
-
-    Of sets of sizes n and m whose differences from one reference of size r hold a and b shingles, D and D' share
-    (a + b - |x ^ y|) / 2, and linked sets have |x ^ y| <= (n + m) / 7. Where a + b <= (n + m) / 7, both link with the
-    reference itself. So a set outside the reference's component (7 a > n + r) shares a shingle of its difference
-    with every set that it links with: among the first a - a + n / 3 + 1 of its own (``long``), and, as the other set
-    knows that its partner is outside, the first b - (7 b + 1 + r - m) / 14 + 1 of the other (``short``).
-    No partner's difference is smaller than the least of the group (``nearest``; outside, ``nearest_out``), which
-    shortens both where a group is only loosely alike: as n <= 4 m / 3, at least (a + least - m / 3) / 2 are shared.
-    In the common order, shingles that many differences share come last.
+    Entries of a list form blocks of one part and of a band of sizes and of reaches. A block of reach under its sizes is
+    only the larger side of a pair, so each block looks up the blocks of the bands from its size to its reach. What
+    is left after the blocks' least sizes and greatest reaches is compared entry by entry.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = frequent.value
-        for batch in batches:
-            cls, ref, inside, nearest, nearest_out = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "ref", "inside", "nearest", "nearest_out"))
-            salt = mix(ref.view("u8"))
-            found = []
-            for i, (x, r) in enumerate(zip(batch.column("x"), batch.column("r"), strict=True)):
-                x, r = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(r.as_buffer(), "u8")
-                d, _ = _apart(x, r)
-                n, a = len(x), len(d)
-                short = a - max(1, -(-(7 * a + 1 + len(r) - n) // 14), -(-(3 * (a + int(nearest_out[i])) - n) // 6)) + 1
-                long = 0 if inside[i] else a - max(1, -(-(3 * a - n) // 3), -(-(3 * (a + int(nearest[i])) - n) // 6)) + 1
-                take = max(short, long)
-                if take <= 0:
-                    continue
-                if len(order[0]):
-                    key = mix(d ^ salt[i])
-                    at = np.minimum(np.searchsorted(order[0], key), len(order[0]) - 1)
-                    d = d[np.argsort(np.where(order[0][at] == key, order[1][at] + 1, 0), kind="stable")]
-                pos = np.arange(take)
-                row = np.empty((take, 8), "i8")
-                row[:, 0], row[:, 1], row[:, 2], row[:, 3], row[:, 4] = ref[i], d[:take].view("i8"), cls[i], n, a
-                row[:, 5], row[:, 6], row[:, 7] = pos, pos < short, pos < long
-                found.append(row)
-            rows = np.concatenate(found) if found else np.zeros((0, 8), "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(6)] + [pa.array(rows[:, k] > 0) for k in (6, 7)], names=["ref", "token", "cls", "n", "a", "pos", "short", "long"])
-
-    return run
-
-
-def _ranked(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT keys of most rows: sorted, and the rank of each by ascending count."""
-    found = rows.groupBy(key).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), key).limit(FREQUENT).toPandas()[key].to_numpy(dtype="i8").view("u8")
-    by = np.argsort(found)
-    return found[by], np.arange(len(found))[::-1][by]
+    held = entries.withColumn("far", F.floor((4 * F.col("size") - 7 * F.col("pos")) / 3).cast("bigint")).filter("far > 0")
+    held = held.withColumn("s", _band(F.col("size"))).withColumn("f", _band(F.col("far")))
+    block = ["token", "part", "s", "f"]
+    cells = saved(held.groupBy(*block).agg(F.min("size").alias("least"), F.max("far").alias("most")))
+    small = cells.filter("f >= s").withColumn("t", F.explode(F.sequence("s", "f")))
+    of = lambda df, x: df.select(*[F.col(c).alias(f"{x}{c}") for c in df.columns])
+    near = of(small, "y").join(of(cells, "x"), (F.col("ytoken") == F.col("xtoken")) & (F.col("yt") == F.col("xs"))).filter("ypart <> xpart and yleast <= xmost and xleast <= ymost")
+    near = near.select(*[x + c for x in "yx" for c in block])
+    y, x = of(held, "p"), of(held, "q")
+    both = near.join(y, [F.col(f"y{c}") == F.col(f"p{c}") for c in block]).drop(*[f"p{c}" for c in block if c != "part"])
+    both = both.join(x, [F.col(f"x{c}") == F.col(f"q{c}") for c in block])
+    both = both.filter("psize <= qfar and qsize <= pfar and (psize < qsize or psize = qsize and pkey < qkey)")
+    pair = both.select(F.when(F.col("pkey") < F.col("qkey"), F.struct(F.col("pkey").alias("a"), F.col("qkey").alias("b"), F.col("psize").alias("n"), F.col("qsize").alias("m"))).otherwise(F.struct(F.col("qkey").alias("a"), F.col("pkey").alias("b"), F.col("qsize").alias("n"), F.col("psize").alias("m"))).alias("p"))
+    return pair.select("p.*").groupBy("a", "b", "n", "m").agg(F.count("*").alias("w"))
 
 
 class _Join:
@@ -373,138 +313,53 @@ class _Join:
 
     def __init__(self, texts: DataFrame, classes: DataFrame):
         self.texts, self.classes = texts, classes
-        self.links: DataFrame | None = None
-        self.component: DataFrame | None = None
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """a, b, n, m, w of those distinct pairs that their bitmaps allow."""
-        c = self.classes
-        left = c.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n"), F.col("bits").alias("x"))
-        right = c.select(F.col("cls").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("y"))
-        return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "w", "x", "y").mapInArrow(_close, "a bigint, b bigint, n bigint, m bigint, w bigint"))
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs not connected yet."""
-        if self.component is None:
-            return pairs
-        c = self.component
-        of = lambda k: c.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all classes in pairs, one row for each."""
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        n = wanted.limit(NEEDED + 1).count()
-        keys = None
-        if n <= NEEDED:
-            got = np.sort(wanted.toPandas()["cls"].to_numpy(dtype="i8")) if n else np.zeros(0, "i8")
-            keys = self.texts.sparkSession.sparkContext.broadcast(got)
-        sets = self.texts.mapInArrow(_class_sets(keys), "cls bigint, held binary")
-        sets = sets.join(wanted, "cls", "left_semi") if keys is None else sets
-        return saved(sets.dropDuplicates(["cls"]))
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs with their overlap, on full sets."""
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("held").alias("y")), "b")
-        return saved(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, n bigint, m bigint, overlap bigint"))
-
-    def connect(self, done: DataFrame) -> None:
-        linked = done.filter("7 * overlap >= 3 * (n + m)").select("a", "b")
-        self.links = linked if self.links is None else self.links.union(linked)
-        self.component = components(self.links)
-
-    def settle(self, pairs: DataFrame) -> None:
-        """Connects whatever these candidate pairs (a, b, w) link: best partners first, then all that is still apart."""
-        left = self.near(pairs)
-        if left.isEmpty():
-            return
-        sets = self.sets(left)
-        self._settle(left, sets)
-        discard(left, sets)
-
-    def _settle(self, left: DataFrame, sets: DataFrame) -> None:
-        known = None
-        for last in (False, False, True):
-            if known is not None:
-                left = saved(self.apart(left.join(known.select("a", "b"), ["a", "b"], "left_anti")))
-                if left.isEmpty():
-                    return
-            if last:
-                chosen = self.possible(left, known)
-            else:
-                row = F.struct("w", "a", "b", "n", "m")
-                ends = left.select(F.col("a").alias("end"), row.alias("p")).union(left.select(F.col("b").alias("end"), row.alias("p")))
-                chosen = ends.groupBy("end").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.n", "p.m").distinct()
-            done = self.verify(chosen, sets)
-            known = done if known is None else known.union(done)
-            self.connect(done)
-
-    def all_links(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
-        """Every link between classes, also within a component: all candidates of short (pairs) and long lists are verified."""
-        other = lists.select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"))
-        met = lists.join(other, "token").filter("cls < xc and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)")
-        near = self.near(pairs.select("a", "b").union(met.select(F.col("cls").alias("a"), F.col("xc").alias("b"))).distinct().withColumn("w", F.lit(1).cast("bigint")))
-        sets = self.sets(near)
-        done = self.verify(near, sets)
-        discard(near, sets)
-        return done.filter("7 * overlap >= 3 * (n + m)").select("a", "b")
-
-    def open(self, lists: DataFrame) -> DataFrame:
-        """token, cls, size, pos, component, main: the lists that are not yet one component; main is the largest there."""
-        part = lists
-        if self.component is not None:
-            part = lists.join(self.component.select(F.col("node").alias("cls"), F.col("component").alias("known")), "cls", "left")
-        part = part.withColumn("component", F.coalesce("known", "cls") if self.component is not None else F.col("cls"))
-        size = part.groupBy("token", "component").agg(F.count("*").alias("k"))
-        main = size.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-        return part.join(main, "token").select("token", "cls", "size", "pos", "component", "main")
-
-    def differ(self, refs: DataFrame) -> None:
-        """Connects whatever classes of one reference link: cls, ref, where each reference has itself."""
-        c = self.classes
-        of = lambda k, n: c.select(F.col("cls").alias(k), F.col("n_shingles").alias(n))
-        asked = saved(refs.filter("cls <> ref").select(F.col("cls").alias("a"), F.col("ref").alias("b")).join(of("a", "n"), "a").join(of("b", "m"), "b"))
-        if asked.isEmpty():
-            return
-        sets = self.sets(asked.select("a", "b"))
-        done = self.verify(asked, sets)
-        self.connect(done)
-        known = self.component.select(F.col("node").alias("cls"), F.col("component").alias("known"))
-        owned = refs.join(known, "cls", "left").withColumn("component", F.coalesce("known", "cls")).select("cls", "ref", "component")
-        main = owned.filter("cls = ref").select("ref", F.col("component").alias("main"))
-        owned = saved(owned.join(main, "ref").withColumn("inside", F.col("component") == F.col("main")))
-        left = saved(owned.filter("cls <> ref").join(owned.filter("not inside").select("ref").distinct(), "ref", "left_semi").select("cls", "ref", "inside"))
-        far = done.select(F.col("a").alias("cls"), F.col("b").alias("ref"), (F.col("n") + F.col("m") - 2 * F.col("overlap")).alias("d")).join(left, ["cls", "ref"])
-        least = saved(far.groupBy("ref").agg(F.min("d").alias("nearest"), F.min(F.expr("if(inside, null, d)")).alias("nearest_out")))
-        led = saved(sets.select(F.col("cls").alias("ref"), F.col("held").alias("r")).join(left.select("ref").distinct(), "ref", "left_semi"))
-        small = (led.agg(F.sum(F.length("r"))).first()[0] or 0) <= REFERENCE_BYTES
-        both = sets.select("cls", F.col("held").alias("x")).join(small_or_shuffled(left.join(least, "ref")), "cls").join(led.hint("broadcast") if small else led, "ref")
-        frequent = self.texts.sparkSession.sparkContext.broadcast(_ranked(both.select("ref", "x", "r").mapInArrow(_shared_differences, "key bigint, n bigint"), "key"))
-        d = saved(both.select("cls", "ref", "inside", "nearest", "nearest_out", "x", "r").mapInArrow(_differences(frequent), "ref bigint, token bigint, cls bigint, n bigint, a bigint, pos bigint, short boolean, long boolean"))
-        discard(sets, led)
-        d = d.join(owned.select("cls", "component", "inside"), "cls")
-        out = d.filter("long").select("ref", "token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("pos").alias("xp"), F.col("component").alias("xk"))
-        met = out.join(d.filter("short"), ["ref", "token"]).filter(
-            "component <> xk and (inside or cls < xc) and 4 * least(n, xn) >= 3 * greatest(n, xn) and 14 * (1 + least(a - 1 - pos, xa - 1 - xp)) >= 7 * (a + xa) - (n + xn)"
-        )
-        self.settle(met.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
-
-    def possible(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs that no computed overlap rules out: b's overlap with a is at most its leader's with a plus what the leader lacks of b."""
-        ways = known.select("a", "b", "m", "overlap").union(known.select("b", "a", "n", "overlap"))
-        lead = ways.groupBy("b").agg(F.max(F.struct("overlap", F.col("a").alias("l"), "m")).alias("p")).select("b", "p.l", (F.col("p.m") - F.col("p.overlap")).alias("beyond"))
-        other = known.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.col("overlap").alias("found")).distinct()
-        asked = pairs.join(lead, "b", "left").withColumn("p", F.least("l", "a")).withColumn("q", F.greatest("l", "a")).join(other, ["p", "q"], "left")
-        return asked.filter("found is null or 7 * (found + beyond) >= 3 * (n + m)").select("a", "b", "n", "m")
+
+    def known(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n, m, w as keys and sizes from a, b, w by the classes' first 64 bits. Classes that share these are all looked at."""
+        of = lambda k, n: self.classes.select(F.col("cls").alias(k), F.col("key").alias(f"k{k}"), F.col("n_shingles").alias(n))
+        both = pairs.join(of("a", "n"), "a").join(of("b", "m"), "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
+        return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n", "m", "w")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """pairs with their overlap, on full sets; the sets of no other classes leave the scan, but for a few by chance."""
+        spark = self.texts.sparkSession
+        wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        bit = F.crc32("key") % FILTER
+        words = wanted.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(crc32(key) % {FILTER} % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bits = np.zeros(FILTER // 64, "i8")
+        bits[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+        filtered = spark.sparkContext.broadcast(bits.view("u1"))
+        sets = self.texts.mapInArrow(_class_sets(filtered), "key binary, held binary").join(small_or_shuffled(wanted), "key", "left_semi")
+        sets = saved(sets.dropDuplicates(["key"]))
+        filtered.unpersist()
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
+        done = saved(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_overlaps, "a binary, b binary, n bigint, m bigint, overlap bigint"))
+        discard(sets, wanted)
+        return done
+
+    def derived(self, pairs: DataFrame, done: DataFrame) -> DataFrame:
+        """pairs with ``overlap`` between ``low`` and ``high``, from the computed answers of a's leader, the class of its greatest share."""
+        ways = done.select("a", "b", "n", "m", "overlap").union(done.select("b", "a", "m", "n", "overlap"))
+        share = (F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap"))).alias("share")
+        lead = ways.groupBy(F.col("a").alias("x")).agg(F.max(F.struct(share, F.col("b").alias("l"), F.col("m").alias("size"), F.col("overlap").alias("within"))).alias("p")).select("x", "p.l", "p.size", "p.within")
+        answers = ways.select(F.col("a").alias("of"), F.col("b").alias("y"), F.col("overlap").alias("there"))
+        asked = pairs.join(lead, F.col("a") == F.col("x"), "left").join(answers, (F.col("l") == F.col("of")) & (F.col("b") == F.col("y")), "left")
+        low = F.greatest(F.lit(0).cast("bigint"), F.col("within") + F.col("there") - F.col("size"))
+        high = F.least("n", "m", F.col("there") + F.col("n") - F.col("within"))
+        return asked.select("a", "b", "n", "m", "w", F.coalesce(low, F.lit(0)).alias("low"), F.coalesce(high, F.least("n", "m")).alias("high"))
+
+
+def _linked(done: DataFrame) -> DataFrame:
+    return done.filter("7 * overlap >= 3 * (n + m)").select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
     """Connected near-duplicate groups of all documents under a Jaccard similarity of at least 0.75 on five-word shingles.
 
-    Returns ``id, n_shingles, component_id, cls, component``: one row for each input row; component_id is the least
-    id that links reach, itself included. ``cls`` keys equal sets, ``component`` connected ones (null for empty sets).
-    With ``pairs`` it returns instead every link between different classes, as ``a, b``, also where others connect
-    the two; only component ids go without verifying the pairs inside a component.
+    Returns ``id, n_shingles, component_id, key, component``: one row for each input row; component_id is the least
+    id that links reach, itself included. ``key`` tells equal sets, ``component`` connected ones (null for empty sets).
+    With ``pairs`` it returns instead every link between different classes, as their keys ``a, b``, also where others
+    connect the two; only component ids go without verifying the pairs inside a component.
 
     Null and empty texts have an empty set: size 0, linked with nothing, their own component. A null id is
     never a component's least id unless all are null. Rows that repeat share class and component. Columns
@@ -514,67 +369,63 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     ship(spark)
-    summary = saved(rows.mapInArrow(_summaries, "id bigint, n_shingles bigint, cls bigint, bits binary, often binary"))
-    held = summary.filter("often is null").select("id", "n_shingles", "cls", "bits")
-    often = summary.filter("often is not null").select("often").mapInArrow(_frequent_rows, "token bigint, n bigint")
-    frequent = spark.sparkContext.broadcast(_ranked(often, "token"))
-
     buckets = bucket_count(docs)
-    entries = texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary")
-    met = saved(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, token bigint, size bigint, pos bigint, long boolean"))
-    lists = met.filter("long").select("token", F.col("a").alias("cls"), "size", "pos")
+    summary = saved(rows.mapInArrow(_summaries(buckets), "id bigint, n_shingles bigint, key binary, cls bigint, bucket bigint, often binary"))
+    held = summary.filter("often is null").select("id", "n_shingles", "key", "cls")
+    counts = saved(summary.filter("often is not null").select("bucket", "often").groupBy("bucket").applyInPandas(_summed, "token bigint, n bigint"))
+    frequent = spark.sparkContext.broadcast(_order(counts))
+    discard(counts)
 
-    classes = held.filter("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("id").alias("id"))
+    entries = texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary")
+    found = saved(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, w bigint, token bigint"))
+    frequent.unpersist()
+    lists = found.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("b").alias("size"), F.col("w").alias("pos"))
+    classes = held.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("cls").alias("cls"), F.min("id").alias("id"))
     classes = saved(classes)
     state = _Join(texts, classes)
     if pairs:
-        return state.all_links(met.filter("not long"), lists)
+        own = classes.select("cls", "key", F.col("key").alias("part"))
+        every = state.known(found.filter("token is null").select("a", "b", "w").distinct()).unionByName(met(lists.join(own, "cls")))
+        return _linked(state.verify(saved(every.select("a", "b", "n", "m").distinct())))
+
     # each class of a long list with its leaders, of its own band of sizes and of the two beside it
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3)))
     central = lists.groupBy("cls").agg(F.count("*").alias("lists"))
-    banded = lists.join(central, "cls").select("token", "cls", "size", "lists", band.alias("band"))
+    banded = saved(lists.join(central, "cls").select("token", "cls", "size", "lists", F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3))).alias("band")))
     leader = banded.groupBy("token", "band").agg(F.max(F.struct("lists", "cls", "size")).alias("p"))
     leader = leader.select("token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("p.cls").alias("l"), F.col("p.size").alias("ls"))
     star = banded.join(leader, ["token", "band"]).filter("l <> cls and 4 * least(size, ls) >= 3 * greatest(size, ls)")
     star = star.groupBy(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).agg(F.count("*").alias("w"))
-    state.settle(met.filter("not long").select("a", "b", F.col("size").alias("w")).union(star).groupBy("a", "b").agg(F.sum("w").alias("w")))
-
-    # classes of open lists by their differences from a reference: of the leaders, the one that each shares most lists with
-    star = saved(star)
-    open_ = state.open(lists)
-    ends = star.select(F.col("a").alias("cls"), F.struct("w", F.col("b").alias("ref")).alias("p")).union(star.select(F.col("b").alias("cls"), F.struct("w", F.col("a").alias("ref")).alias("p")))
-    best = ends.join(leader.select(F.col("l").alias("ref")).distinct(), F.col("p.ref") == F.col("ref"), "left_semi")
-    best = best.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("p").alias("p")).select("cls", F.col("p.ref").alias("ref"))
-    best = saved(best)
-    itself = best.select(F.col("ref").alias("cls")).distinct()
-    refs = saved(best.join(itself, "cls", "left_anti").union(itself.select("cls", F.col("cls").alias("ref"))))
-    state.differ(refs)
-
-    open_ = state.open(lists).join(refs, "cls", "left").withColumn("ref", F.coalesce("ref", "cls"))
-    # classes that also share one of their last open lists before this one met there, at lower positions, and are not looked at again
-    before = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
-    open_ = saved(open_.withColumn("before", before))
-    out = open_.filter("component <> main").select("token", F.col("cls").alias("xc"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("component").alias("xk"), F.col("before").alias("xb"), F.col("ref").alias("xr"))
-    both = out.join(open_, "token").filter(
-        "component <> xk and ref <> xr and (component = main or cls < xc) and not arrays_overlap(before, xb) and 4 * least(size, xs) >= 3 * greatest(size, xs) and 7 * (1 + least(size - 1 - pos, xs - 1 - xp)) >= 3 * (size + xs)"
-    )
-    state.settle(both.groupBy(F.least("cls", "xc").alias("a"), F.greatest("cls", "xc").alias("b")).agg(F.count("*").alias("w")))
-
-    if state.component is None:
-        grouped = classes.select("cls", F.col("cls").alias("component"))
-    else:
-        grouped = classes.join(state.component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
-    grouped = classes.select("cls", "id").join(grouped, "cls")
+    first = state.known(found.filter("token is null").select("a", "b", "w").union(star).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    done = state.verify(saved(first))
+    discard(banded)
+    component = components(_linked(done))
+
+    # lists that are not yet one component
+    of = saved(classes.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select("cls", "key", "id", F.coalesce("component", "key").alias("part")))
+    parted = saved(lists.join(of.drop("id"), "cls"))
+    open_ = parted.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
+    rest = saved(state.derived(met(parted.join(open_, "token", "left_semi")), done))
+    needed = F.ceil(3 * (F.col("n") + F.col("m")) / 7)
+    derived = rest.filter(F.col("low") >= needed).select("a", "b")
+    asked = saved(rest.filter((F.col("low") < needed) & (F.col("high") >= needed)).select("a", "b", "n", "m"))
+    more = derived if asked.isEmpty() else derived.union(_linked(state.verify(asked)))
+    # the links found last join whole components, so only components are connected anew
+    name = lambda k: of.select(F.col("key").alias(k), F.col("part").alias(f"p{k}"))
+    again = components(more.join(name("a"), "a").join(name("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    again = again.select(F.col("node").alias("part"), F.col("component").alias("joined"))
+    grouped = of.join(small_or_shuffled(again), "part", "left").select("key", "id", F.coalesce("joined", "part").alias("component"))
+    grouped = saved(grouped)
     named = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = saved(grouped.join(named, "component").select("cls", "component_id", "component"))
-    filled = held.filter("n_shingles > 0").join(small_or_shuffled(named), "cls", "left")
+    named = saved(grouped.select("key", "component").join(named, "component").select("key", "component_id", "component"))
+    discard(parted, rest, asked, grouped)
+    filled = held.filter("n_shingles > 0").join(small_or_shuffled(named), "key", "left")
     empty = held.filter("n_shingles = 0")
-    none = F.lit(None).cast("bigint").alias("component")
-    return filled.select("id", "n_shingles", "component_id", "cls", "component").union(empty.select("id", "n_shingles", F.col("id").alias("component_id"), "cls", none))
+    none = F.lit(None).cast("binary").alias("component")
+    return filled.select("id", "n_shingles", "component_id", "key", "component").union(empty.select("id", "n_shingles", F.col("id").alias("component_id"), "key", none))
 
 
-def with_class(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """docs with the class key of each row's set in a further column."""
+def with_key(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with the key of each row's set in a further column."""
     ship(docs.sparkSession)
     text_at = docs.columns.index(text_col)
 
@@ -582,18 +433,19 @@ def with_class(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for at, to, _, _, cls in _sets(batch.column(text_at)):
                 columns = batch.slice(at, to - at).columns
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cls.view("i8"))], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(_keys(cls), pa.binary())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold any character
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(name, BinaryType())])).toDF(*docs.columns, name)
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, cls, n_links`` of every row: n_links other rows have a set that links with its own, copies counted each. Empty sets have none."""
+    """``id, key, n_links`` of every row: n_links other rows have a set that links with its own, copies counted each. Empty sets have none."""
     links = saved(ngram_jaccard_join(docs, id_col, text_col, pairs=True))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = saved(with_class(rows, "cls").withColumn("empty", F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*\z")).drop("text"))
-    copies = saved(held.filter("not empty").groupBy("cls").agg(F.count("*").alias("copies")))
-    ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
-    more = ends.join(copies.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("copies").alias("others"))
-    total = copies.join(more, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return held.join(small_or_shuffled(total), "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    held = saved(with_key(rows, "key").withColumn("empty", F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*\z")).drop("text"))
+    copies = saved(held.filter("not empty").groupBy("key").agg(F.count("*").alias("copies")))
+    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
+    more = ends.join(copies.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.sum("copies").alias("others"))
+    total = copies.join(more, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return held.join(small_or_shuffled(total), "key", "left").select("id", "key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a bounded lookup table that may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,9 +20,28 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    lead = ""
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as expressions, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one: applications that share a cluster don't meet there."""
+    return f"{shared_folder(spark)}/joinwright-{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Computes df once, and returns it as read from the shared folder: a lost executor costs no recomputation upstream."""
-    path = f"{shared_folder(df.sparkSession)}/joinwright-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
@@ -43,8 +62,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what ``saved`` has written in this shared folder; only for use when no result of an operator is still to be read."""
-    _delete(spark, f"{shared_folder(spark)}/joinwright-*")
+    """Deletes what ``saved`` has written for this application; only for use when no result of an operator is still to be read."""
+    _delete(spark, f"{own_folder(spark)}/*")
 
 
 def size_estimate(df: DataFrame) -> int:

@@ -232,7 +232,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(score), pa.array((score >= threshold).astype("i4")), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "predicted", "evidence"])
 
     if keep is not None:
-        return docs.mapInArrow(run, docs.schema)
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold any character
+        return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id bigint, score double, predicted int, evidence array<bigint>")
 

@@ -1,12 +1,15 @@
 """Words of Arrow text columns as numpy arrays, without a Python object for each word.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r. Its hash is a polynomial over the
-bytes modulo 2^64 (from prefix sums of a whole block of text), finalised by a bijective mixer. 64-bit
-hashes stand for words and shingles throughout: n different ones collide with probability n^2 / 2^65.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r. Its hash is a chain over its eight-byte parts:
+each part is folded in and then scrambled by a bijective mixer, so the hash is no linear function of the text and
+words with algebraic structure don't collide more than others do. Up to eight bytes, words of one length never
+collide. Where a result depends on a word itself, callers compare bytes (see ``same_spans``); elsewhere 64 bits stand
+for words and shingles, and 128 for whole sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,26 +37,18 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_EXACT = constants(256, 11)
-_FOLDED = _EXACT.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype="u1")
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: Longer words than this are hashed one by one, by a cryptographic hash.
+LONG = 512
+_SIZES = mix(np.arange(1, LONG + 3, dtype="u8") * np.uint64(_BASE))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 #: Where ``cut`` divides words: after an ASCII letter and before one of these.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "|"]] = True
-_powers: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK + 1024)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, "u8")
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
 
 
 @dataclass
@@ -101,20 +96,47 @@ def find_words(data: np.ndarray, offsets: np.ndarray, fold: bool, hashes: bool =
     return Words(start, end, np.searchsorted(offsets, start, side="right") - 1, found)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian numbers; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, "u1")])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-    """Hashes of byte spans; starts and ends ascend."""
-    parts, k, table = [], 0, _FOLDED if fold else _EXACT
-    while k < len(start):
-        at = start[k]
-        to = max(k + 1, int(np.searchsorted(end, at + BLOCK, side="right")))
-        run = table[data[at : end[to - 1]]]
-        power, inverse = _power_tables(len(run) + 1)
-        sums = np.zeros(len(run) + 1, "u8")
-        np.cumsum(run * power[: len(run)], out=sums[1:])
-        s, e = start[k:to] - at, end[k:to] - at
-        parts.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype("u8")))
-        k = to
-    return np.concatenate(parts) if parts else np.zeros(0, "u8")
+    """Hashes of byte spans; they may overlap."""
+    if not len(start):
+        return np.zeros(0, "u8")
+    data = LOWER[data] if fold else data
+    eights, size = _eights(data), end - start
+    found = mix(_SIZES[np.minimum(size, LONG + 1)] ^ (eights[start] & _KEEP[np.minimum(size, 8)]))
+    at, left = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        found[at] = mix(found[at] ^ (eights[start[at] + left] & _KEEP[np.minimum(size[at] - left, 8)]))
+        left += 8
+        at = at[size[at] > left]
+    for i in np.flatnonzero(size > LONG):
+        found[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """Whether spans hold the same bytes as those beside them."""
+    size = end - start
+    same = size == end_b - start_b
+    if not len(start):
+        return same
+    eights = _eights(data)
+    at, left = np.flatnonzero(same), 0
+    while len(at):
+        here = (eights[start[at] + left] ^ eights[start_b[at] + left]) & _KEEP[np.minimum(size[at] - left, 8)]
+        same[at[here != 0]] = False
+        left += 8
+        at = at[(here == 0) & (size[at] > left)]
+        if left >= LONG:
+            for i in at:
+                same[i] = data[start[i] + left : end[i]].tobytes() == data[start_b[i] + left : end_b[i]].tobytes()
+            break
+    return same
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

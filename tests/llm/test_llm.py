@@ -12,7 +12,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from joinwright.llm import context_mixing, inner_products, packing, quality, registry, toxicity, warc
+from joinwright.llm import context_mixing, inner_products, ngram_join, packing, quality, registry, toxicity, warc
 from joinwright.llm.components import components
 from joinwright.llm.exact_dedup import exact_dedup
 from joinwright.llm.mixing import mix_sources, mixed_documents
@@ -134,10 +134,10 @@ def test_ngram_links_are_whole(spark):
     sets = [shingle_set(t) for t in docs]
     linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.id: (r.cls, r.n_links) for r in link_counts(df).collect()}
+    got = {r.id: (bytes(r.key), r.n_links) for r in link_counts(df).collect()}
     assert {i: n for i, (_, n) in got.items()} == {i: sum(linked(s, t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)}
     want = {frozenset((got[i][0], got[j][0])) for i in range(len(docs)) for j in range(i) if linked(sets[i], sets[j]) and sets[i] != sets[j]}
-    found = [frozenset((r.a, r.b)) for r in ngram_jaccard_join(df, pairs=True).collect()]
+    found = [frozenset((bytes(r.a), bytes(r.b))) for r in ngram_jaccard_join(df, pairs=True).collect()]
     assert len(found) == len(set(found)) and set(found) == want
 
 
@@ -167,6 +167,45 @@ def test_block_skips_lose_no_pair():
     assert set(map(tuple, list_pairs(e)[0].tolist())) == {(int(a), int(b)) for a, b in want}
 
 
+def test_blocks_of_long_lists_lose_no_pair(spark):
+    rng = random.Random(8)
+    rows = sorted({(t, f"c{c:02d}".encode(), 20 + 7 * c % 60, rng.randrange(0, 8), f"p{c % 9}".encode()) for t in range(5) for c in rng.sample(range(90), 60)})
+    got = {(bytes(r.a), bytes(r.b)): r.w for r in ngram_join.met(spark.createDataFrame(rows, "token bigint, key binary, size bigint, pos bigint, part binary")).collect()}
+    want = collections.Counter()
+    for t, k, n, i, p in rows:
+        for u, q, m, j, o in rows:
+            if t == u and k < q and p != o and 1 + min(n - 1 - i, m - 1 - j) >= _needed(n, m):
+                want[k, q] += 1
+    assert got == want and len(want) > 100
+
+
+def test_ngram_join_of_a_line_in_thousands(spark):
+    """A line that thousands of otherwise unrelated documents share makes no pairs of them all; documents that are mostly that line do meet."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    line = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(30, 50))) + " " + line) for i in range(3000)]
+    rows += [(3000 + i, " ".join(word() for _ in range(2 + i % 3)) + " " + line) for i in range(60)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.select("id", "n_shingles", "component_id").filter("id >= 2900").collect())) == brute_components(rows[2900:])
+    assert got.filter("id < 2900 and id <> component_id").count() == 0
+
+
+def thue_morse(n, one, two):
+    return "".join((one, two)[i.bit_count() & 1] for i in range(n))
+
+
+WOVEN = [thue_morse(n, *x) for n in (512, 1024, 2048, 4096) for one, two in ("th", "zs", "ab", "éö") for x in ((one, two), (two, one))]
+
+
+def test_woven_words_are_told_apart(spark):
+    """Words that collide under every polynomial hash modulo 2^64."""
+    rows = [(i, f"{w} {w[::-1]} the end of it") for i, w in enumerate(WOVEN)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.select("id", "n_shingles", "component_id").collect())) == brute_components(rows)
+    assert len({bytes(r.key) for r in got.collect()}) == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -535,6 +574,27 @@ def test_near_copies_by_row(spark):
     assert left[4][0] is None and left[4][1].startswith(b)
 
 
+def test_stages_with_clashing_names(spark):
+    import corpus_pipeline as p
+
+    names = ["__n", "__rate", "__sha", "__id", "__again", "__key", "n", "rate", "sha", "id", "key", "again", "component", "a`b", "size", "norm", "row"]
+    docs = spark.createDataFrame([(r[0], r[1], r[3], *(f"{c}{i}" for c in names)) for i, r in enumerate(EDGES)], "doc_id bigint, text string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+    whole = set(map(tuple, docs.collect()))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and set(map(tuple, rows)) <= whole
+
+
+def test_copies_under_one_id(spark):
+    """Texts that differ stay apart under one id; of rows that repeat id and text, one stays."""
+    import corpus_pipeline as p
+
+    rows = [(1, "a b c"), (1, "another text"), (1, "a  b c"), (1, "a b c"), (2, "abc"), (3, "another text"), (None, "x y"), (None, "xy"), (None, "z")]
+    left = sorted(((r.doc_id, r.text) for r in p.exact_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()), key=repr)
+    assert left == sorted([(1, "a  b c"), (1, "another text"), (None, "x y"), (None, "z")], key=repr)
+
+
 def test_pipeline_edges(spark, none):
     import corpus_pipeline as p
 
