@@ -16,7 +16,8 @@ A document's set holds its distinct five-word shingles. Two sets link when 100 *
 4. Lists that lie in one component are done. In the others only blocks of different components meet. A
    pair's answer is derived, where that decides it, from the computed answers of the class's leader: of the overlap of x
    and y, what lies in the leader is between |x & l| + |l & y| - |l| and |l & y|, and at most |x| - |x & l| lies outside.
-   Only pairs that this leaves open are verified on their full sets.
+   Only pairs that this leaves open are verified on their full sets, and of all pairs only those
+   whose bitmaps, of a flipped bit a shingle, don't differ in more bits than linked sets can.
 
 Connections come from distributed rounds; no task or driver holds a list, a group or a component whole. What is
 broadcast is bounded by constants: FREQUENT shingles, and a filter of FILTER bits.
@@ -48,6 +49,8 @@ SPAN = 4_000_000
 HOT = 64
 #: Bits of the broadcast filter of classes whose sets are read. What passes by chance is dropped by a join.
 FILTER = 1 << 23
+#: Least bits of a bitmap of a set; larger sets have at least twice as many bits as shingles.
+BITS = 1024
 #: Sizes and reaches of a block are within this factor.
 BAND = 1.06
 
@@ -80,6 +83,30 @@ def _keys(keys: np.ndarray) -> list[bytes]:
     return [whole[i : i + 16] for i in range(0, len(whole), 16)]
 
 
+def _parity(held: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips one bit; its length is a power of two that depends on the size alone."""
+    bits = max(BITS, 1 << int(2 * len(held) - 1).bit_length()) if len(held) else BITS
+    flips = np.bincount((held & np.uint64(bits - 1)).astype("i8"), minlength=bits)
+    return np.packbits((flips & 1).astype("u1"), bitorder="little").tobytes()
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded, which keeps parities."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _close(batches):
+    """Pairs whose bitmaps allow a link: each shingle that only one of the two sets has flips one bit."""
+    for batch in batches:
+        n, m = (batch.column(k).to_numpy() for k in ("n", "m"))
+        differ = np.fromiter((_differ(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)), "i8", len(n))
+        yield batch.filter(pa.array(differ <= n + m - 2 * _needed(n, m))).select(["a", "b", "n", "m", "w"])
+
+
 class _Counter:
     """Counts the shingles of different sets in spans; each span yields (hash bucket, tokens and counts) of those that several hold."""
 
@@ -108,8 +135,8 @@ def _summaries(buckets: int):
     """A row for each document, and rows that hold only shared shingles with their counts."""
 
     def rows(*columns) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_shingles", "key", "cls", "bucket", "often"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_shingles", "key", "cls", "bits", "bucket", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(buckets)
@@ -117,14 +144,14 @@ def _summaries(buckets: int):
         def often() -> Iterator[pa.RecordBatch]:
             if sent := list(counter.often()):
                 none = [None] * len(sent)
-                yield rows(none, none, none, none, [b for b, _ in sent], [x for _, x in sent])
+                yield rows(none, none, none, none, none, [b for b, _ in sent], [x for _, x in sent])
 
         for batch in batches:
             for at, to, held, bounds, cls in _sets(batch.column(1)):
                 keys = _keys(cls)
                 counter.add(held, bounds, keys)
                 none = [None] * (to - at)
-                yield rows(batch.column(0).slice(at, to - at), np.diff(bounds), keys, np.ascontiguousarray(cls[:, 0]).view("i8"), none, none)
+                yield rows(batch.column(0).slice(at, to - at), np.diff(bounds), keys, np.ascontiguousarray(cls[:, 0]).view("i8"), [_parity(held[bounds[i] : bounds[i + 1]]) for i in range(to - at)], none, none)
                 if counter.size > SPAN:
                     yield from often()
         yield from often()
@@ -314,11 +341,14 @@ class _Join:
     def __init__(self, texts: DataFrame, classes: DataFrame):
         self.texts, self.classes = texts, classes
 
-    def known(self, pairs: DataFrame) -> DataFrame:
-        """a, b, n, m, w as keys and sizes from a, b, w by the classes' first 64 bits. Classes that share these are all looked at."""
-        of = lambda k, n: self.classes.select(F.col("cls").alias(k), F.col("key").alias(f"k{k}"), F.col("n_shingles").alias(n))
-        both = pairs.join(of("a", "n"), "a").join(of("b", "m"), "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
-        return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n", "m", "w")
+    def near(self, pairs: DataFrame, name: str) -> DataFrame:
+        """a, b, n, m, w as keys and sizes, of the pairs a, b, w that sizes and bitmaps allow; a and b are ``name``: keys, or their first 64 bits.
+
+        Classes that share the first 64 bits are all looked at.
+        """
+        of = lambda k, n, x: self.classes.select(F.col(name).alias(k), F.col("key").alias(f"k{k}"), F.col("n_shingles").alias(n), F.col("bits").alias(x))
+        both = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
+        return saved(both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n", "m", "w", "x", "y").mapInArrow(_close, "a binary, b binary, n bigint, m bigint, w bigint"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """pairs with their overlap, on full sets; the sets of no other classes leave the scan, but for a few by chance."""
@@ -370,8 +400,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     buckets = bucket_count(docs)
-    summary = saved(rows.mapInArrow(_summaries(buckets), "id bigint, n_shingles bigint, key binary, cls bigint, bucket bigint, often binary"))
-    held = summary.filter("often is null").select("id", "n_shingles", "key", "cls")
+    summary = saved(rows.mapInArrow(_summaries(buckets), "id bigint, n_shingles bigint, key binary, cls bigint, bits binary, bucket bigint, often binary"))
+    held = summary.filter("often is null").select("id", "n_shingles", "key", "cls", "bits")
     counts = saved(summary.filter("often is not null").select("bucket", "often").groupBy("bucket").applyInPandas(_summed, "token bigint, n bigint"))
     frequent = spark.sparkContext.broadcast(_order(counts))
     discard(counts)
@@ -380,12 +410,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = saved(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, w bigint, token bigint"))
     frequent.unpersist()
     lists = found.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("b").alias("size"), F.col("w").alias("pos"))
-    classes = held.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("cls").alias("cls"), F.min("id").alias("id"))
+    classes = held.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("cls").alias("cls"), F.first("bits").alias("bits"), F.min("id").alias("id"))
     classes = saved(classes)
     state = _Join(texts, classes)
     if pairs:
         own = classes.select("cls", "key", F.col("key").alias("part"))
-        every = state.known(found.filter("token is null").select("a", "b", "w").distinct()).unionByName(met(lists.join(own, "cls")))
+        short = state.near(found.filter("token is null").select("a", "b", "w"), "cls")
+        every = short.union(state.near(met(lists.join(own, "cls")).select("a", "b", "w"), "key"))
         return _linked(state.verify(saved(every.select("a", "b", "n", "m").distinct())))
 
     # each class of a long list with its leaders, of its own band of sizes and of the two beside it
@@ -395,8 +426,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leader = leader.select("token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("p.cls").alias("l"), F.col("p.size").alias("ls"))
     star = banded.join(leader, ["token", "band"]).filter("l <> cls and 4 * least(size, ls) >= 3 * greatest(size, ls)")
     star = star.groupBy(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).agg(F.count("*").alias("w"))
-    first = state.known(found.filter("token is null").select("a", "b", "w").union(star).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    done = state.verify(saved(first))
+    first = state.near(found.filter("token is null").select("a", "b", "w").union(star).groupBy("a", "b").agg(F.sum("w").alias("w")), "cls")
+    done = state.verify(first)
     discard(banded)
     component = components(_linked(done))
 
@@ -407,7 +438,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = saved(state.derived(met(parted.join(open_, "token", "left_semi")), done))
     needed = F.ceil(3 * (F.col("n") + F.col("m")) / 7)
     derived = rest.filter(F.col("low") >= needed).select("a", "b")
-    asked = saved(rest.filter((F.col("low") < needed) & (F.col("high") >= needed)).select("a", "b", "n", "m"))
+    asked = state.near(rest.filter((F.col("low") < needed) & (F.col("high") >= needed)).select("a", "b", "w"), "key")
     more = derived if asked.isEmpty() else derived.union(_linked(state.verify(asked)))
     # the links found last join whole components, so only components are connected anew
     name = lambda k: of.select(F.col("key").alias(k), F.col("part").alias(f"p{k}"))
