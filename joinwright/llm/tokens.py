@@ -3,13 +3,15 @@
 For a tokenizer that drops white space and splits at it, and between a letter and a mark, a text's ids are
 its pieces' ids in turn. The pieces here are words, divided only between an ASCII letter and an ASCII mark
 other than the | of special strings, which the library therefore sees whole. It lower-cases, so A-Z are
-folded in hashes, except in blocks with special strings. Each worker asks the library once for each different
-piece that it meets.
+folded, except in blocks with special strings. Each worker asks the library once for each different
+piece that it meets. Tables and caches are keyed by the pieces' bytes; hashes only group equal pieces of a block, and
+the bytes of each group are compared.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,13 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ship import ship
-from .words import Words, blocks, distinct, find_words
-
-#: Entries of a worker's cache; a full cache is emptied.
-CACHE = 500_000
-#: Entries of the broadcast table of frequent words (ten bytes each), and how many candidates each task names.
-FREQUENT = 100_000
+from .storage import saved
+from .words import LOWER, Words, blocks, distinct_spans, find_words
+
+#: Entries and bytes of the pieces in a worker's cache; a full cache is emptied.
+CACHE = 300_000
+CACHE_BYTES = 32 << 20
+#: Entries of the broadcast table of frequent pieces, of fewer than SHORT bytes each; how many candidates each task names, and how many
+#: lists of candidates are merged at a time.
+FREQUENT = 50_000
+SHORT = 64
 NAMED = 16_384
+MERGED = 64
 
 
 def default_path() -> str:
@@ -35,8 +42,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def find_pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return find_words(data, offsets, fold=b"<|" not in data.tobytes(), cut=True)
+def find_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The pieces of a block, and its bytes as the pieces are told apart: with A-Z as a-z, but where special strings may be."""
+    fold = b"<|" not in data.tobytes()
+    return find_words(data, offsets, fold=fold, cut=True), LOWER[data] if fold else data
 
 
 _encoders: dict[str, Encoder] = {}
@@ -51,7 +60,7 @@ def worker_encoder(path: str | None) -> Encoder:
 
 
 class Encoder:
-    """Ids of words through a cache from word hash to a run of stored ids."""
+    """Ids of pieces through a cache from a piece's bytes to a run of stored ids."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,27 +72,24 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids, self.start, self.n = np.zeros(1 << 16, "u4"), np.zeros(CACHE * 2, "i8"), 0
-        self.length = np.zeros(CACHE * 2, "i8")
+        self.place: dict[bytes, int] = {}
+        self.ids, self.start, self.n, self.bytes = np.zeros(1 << 16, "u4"), np.zeros(CACHE, "i8"), 0, 0
+        self.length = np.zeros(CACHE, "i8")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
-    def places(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where each of these different words is stored."""
-        if len(self.place) + len(hashes) > CACHE:
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each of these different pieces is stored."""
+        if len(self.place) + len(pieces) > CACHE or self.bytes > CACHE_BYTES:
             self.reset()
-            if len(hashes) > len(self.start):
-                self.start, self.length = np.zeros(len(hashes), "i8"), np.zeros(len(hashes), "i8")
-        keys = hashes.tolist()
-        got = [self.place.get(k, -1) for k in keys]
+            if len(pieces) > len(self.start):
+                self.start, self.length = np.zeros(len(pieces), "i8"), np.zeros(len(pieces), "i8")
+        got = [self.place.get(x, -1) for x in pieces]
         lack = [i for i, g in enumerate(got) if g < 0]
         if lack:
-            whole = data.tobytes()
-            at, to = start[lack].tolist(), end[lack].tolist()
-            new = self.encode([whole[i:j].decode() for i, j in zip(at, to, strict=True)])
+            new = self.encode([pieces[i].decode() for i in lack])
             sizes = np.fromiter(map(len, new), "i8", len(new))
             flat = np.fromiter(chain.from_iterable(new), "u4", int(sizes.sum()))
             if self.n + len(flat) > len(self.ids):
@@ -93,59 +99,85 @@ class Encoder:
             self.start[k : k + len(new)], self.length[k : k + len(new)] = self.n + np.cumsum(sizes) - sizes, sizes
             self.n += len(flat)
             for j, i in enumerate(lack, k):
-                self.place[keys[i]] = got[i] = j
+                self.place[pieces[i]] = got[i] = j
+                self.bytes += len(pieces[i])
         return np.array(got, "i8")
 
-    def lengths(self, words: Words, data: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Ids in each word; ``known`` is a table (sorted hashes, lengths) that is asked first."""
-        u, first, place = distinct(words.hash)
-        out = np.full(len(u), -1, "i8")
-        if known is not None and len(known[0]):
-            at = np.minimum(np.searchsorted(known[0], u), len(known[0]) - 1)
-            out = np.where(known[0][at] == u, known[1][at].astype("i8"), -1)
+    def lengths(self, words: Words, data: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
+        """Ids in each piece; ``known``, the lengths of frequent pieces, is asked first."""
+        first, place = distinct_spans(words, data)
+        pieces = spelled(words, data, first)
+        out = np.array([known.get(x, -1) for x in pieces], "i8")
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            f = first[miss]
-            out[miss] = self.length[self.places(u[miss], data, words.start[f], words.end[f])]
+            out[miss] = self.length[self.places([pieces[i] for i in miss])]
         return out[place]
 
     def all_ids(self, words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, ids in each word)."""
-        u, first, place = distinct(words.hash)
-        at = self.places(u, data, words.start[first], words.end[first])[place]
+        """(ids of all pieces in turn, ids in each piece)."""
+        first, place = distinct_spans(words, data)
+        at = self.places(spelled(words, data, first))[place]
         n = self.length[at]
         index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
         return self.ids[index], n
 
 
-def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that this task has met most often, in one row each; one batch a task."""
-    keys, counts, names = np.zeros(0, "u8"), np.zeros(0, "i8"), {}
+def spelled(words: Words, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    whole = data.tobytes()
+    return [whole[i:j] for i, j in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+
+
+def _most(counts: Counter, n: int) -> pa.RecordBatch:
+    """The n greatest counts, ties by bytes, as one row of pieces and one of counts."""
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]
+    return pa.RecordBatch.from_arrays([pa.array([[x for x, _ in top]], pa.list_(pa.binary())), pa.array([[k for _, k in top]], pa.list_(pa.int64()))], names=["pieces", "n"])
+
+
+def _frequent_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: the short pieces that it has met most often, with their counts."""
+    counts: Counter = Counter()
     for batch in batches:
         for _, _, data, offsets in blocks(batch.column(0)):
-            words = find_pieces(data, offsets)
-            u, first, place = distinct(words.hash)
-            n = np.bincount(place, minlength=len(u))
+            words, data = find_pieces(data, offsets)
+            first, place = distinct_spans(words, data)
+            n = np.bincount(place, minlength=len(first))
             top = np.argsort(-n, kind="stable")[:NAMED]
-            text = data.tobytes()
-            for i in top:
-                if (h := int(u[i])) not in names and words.end[first[i]] - words.start[first[i]] < 256:
-                    names[h] = text[words.start[first[i]] : words.end[first[i]]]
-            merged, _, where = distinct(np.concatenate([keys, u[top]]))
-            total = np.bincount(where, weights=np.concatenate([counts, n[top]]), minlength=len(merged)).astype("i8")
-            keep = np.sort(np.argsort(-total, kind="stable")[: 4 * NAMED])
-            keys, counts = merged[keep], total[keep]
-            if len(names) > 16 * NAMED:
-                names = {h: names[h] for h in keys.tolist() if h in names}
-    top = [i for i in np.argsort(-counts, kind="stable")[:NAMED] if int(keys[i]) in names]
-    yield pa.RecordBatch.from_arrays([pa.array([names[int(keys[i])].decode() for i in top], pa.string()), pa.array(counts[top], pa.int64())], names=["word", "n"])
+            top = top[(words.end - words.start)[first[top]] < SHORT]
+            for x, k in zip(spelled(words, data, first[top]), n[top].tolist(), strict=True):
+                counts[x] += k
+            if len(counts) > 8 * NAMED:
+                counts = Counter(dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 4 * NAMED]))
+    out = _most(counts, NAMED)
+    yield out.append_column("task", pa.array([TaskContext.get().partitionId()], pa.int64()))
+
+
+def _merge_candidates(key, pdf):
+    import pandas as pd
+
+    counts: Counter = Counter()
+    for pieces, n in zip(pdf["pieces"], pdf["n"], strict=True):
+        for x, k in zip(pieces, n, strict=True):
+            counts[x] += int(k)
+    out = _most(counts, FREQUENT).to_pydict()
+    return pd.DataFrame({"pieces": out["pieces"], "n": out["n"], "task": [int(key[0])]})
+
+
+def frequent_pieces(texts: DataFrame) -> list[bytes]:
+    """The most frequent short pieces of all texts, FREQUENT at most: lists of candidates, one a task, are merged in a tree, MERGED at a time."""
+    schema = "pieces array<binary>, n array<bigint>, task bigint"
+    lists = saved(texts.mapInArrow(_frequent_pieces, schema))
+    tasks = (lists.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        tasks = -(-tasks // MERGED)
+        lists = saved(lists.withColumn("task", F.floor(F.col("task") / MERGED)).groupBy("task").applyInPandas(_merge_candidates, schema))
+    return [bytes(x) for r in lists.select("pieces").collect() for x in r.pieces]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit`` of every whole text; tokenizer is the path of a .json file.
 
-    Two tiers, both map-side: a broadcast table of the lengths of frequent words, at most FREQUENT entries,
-    then each worker's own cache, which asks the library. Texts and words are never shuffled; what the tasks
+    Two tiers, both map-side: a broadcast table of the lengths of frequent pieces, at most FREQUENT entries,
+    then each worker's own cache, which asks the library. Texts and pieces are never shuffled; what the tasks
     send is a bounded list of candidates for the table each. The tables affect speed alone.
 
     A null or empty text has 0 bytes and tokens. Null ids and repeated rows pass through, one row for each
@@ -153,25 +185,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    top = texts.mapInArrow(_frequent_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    names = [r.word for r in top.select("word").collect()]
-    column = pa.array(names, pa.string())
-    encoder = Encoder(tokenizer)
-    hashes, lengths = [], []
-    for at, to, data, offsets in blocks(column):
-        hashes.append(find_pieces(data, offsets).hash)
-        lengths += [len(x) for x in encoder.encode(names[at:to])]
-    key = np.concatenate(hashes) if hashes else np.zeros(0, "u8")
-    by = np.argsort(key)
-    table = spark.sparkContext.broadcast((key[by], np.array(lengths, "u2")[by] if len(key) else np.zeros(0, "u2")))
+    names = frequent_pieces(docs.select(F.col(text_col).cast("string").alias("text")))
+    lengths = map(len, Encoder(tokenizer).encode([x.decode() for x in names]))
+    table = spark.sparkContext.broadcast(dict(zip(names, lengths, strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_encoder(tokenizer)
         for batch in batches:
             for at, to, data, offsets in blocks(batch.column(1)):
-                words = find_pieces(data, offsets)
-                n = np.bincount(words.doc, weights=own.lengths(words, data, table.value), minlength=to - at).astype("i8")
+                words, folded = find_pieces(data, offsets)
+                n = np.bincount(words.doc, weights=own.lengths(words, folded, table.value), minlength=to - at).astype("i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(np.diff(offsets)), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -188,8 +211,8 @@ def token_pieces(docs: DataFrame, window: int, end_id: int, id_col: str, text_co
         own, task, met = worker_encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, "i8")
         for batch in batches:
             for at, to, data, offsets in blocks(batch.column(1)):
-                words = find_pieces(data, offsets)
-                ids, n = own.all_ids(words, data)
+                words, folded = find_pieces(data, offsets)
+                ids, n = own.all_ids(words, folded)
                 size = np.bincount(words.doc, weights=n, minlength=to - at).astype("i8") + 1
                 begin = np.concatenate([[0], np.cumsum(size)])
                 full = np.full(begin[-1], end_id, "<u4")

@@ -150,6 +150,17 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[new], order[new], place
 
 
+def distinct_spans(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each different word, each word's place among them), by hash, then by bytes: data is as it was hashed."""
+    _, first, place = distinct(words.hash)
+    like = first[place]
+    if same_spans(data, words.start, words.end, words.start[like], words.end[like]).all():
+        return first, place
+    met: dict[bytes, int] = {}  # words that share a hash
+    place = np.array([met.setdefault(data[a:b].tobytes(), len(met)) for a, b in zip(words.start, words.end, strict=True)], "i8")
+    return np.unique(place, return_index=True)[1], place
+
+
 def shingles(words: Words, docs: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct ``width``-word shingles of row i are hashes[bounds[i]:bounds[i + 1]].
 

@@ -206,6 +206,27 @@ def test_woven_words_are_told_apart(spark):
     assert len({bytes(r.key) for r in got.collect()}) == len(rows)
 
 
+def test_tokens_of_woven_words(spark, library):
+    """Woven words, with cases mixed, in one block: counts and ids are the library's for each."""
+    words = [w for x in WOVEN for w in (x, x.upper(), x + "!")]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").coalesce(1)
+    want = library_ids(library, words)
+    assert [r.n_tokens for r in token_counts(df).orderBy("id").collect()] == [len(x) for x in want]
+    pieces = collections.defaultdict(list)
+    for r in packing.pack(df, with_ids=True).collect():
+        pieces[r.id].append((r.start, list(r.ids)))
+    assert {k: [x for _, v in sorted(p) for x in v] for k, p in pieces.items()} == {k: [*x, 2] for k, x in enumerate(want)}
+
+
+def test_words_that_share_a_hash_are_compared():
+    from joinwright.llm.words import Words, distinct_spans
+
+    data = np.frombuffer(b"onetwoone" + b"x" * 700 + b"x" * 699 + b"y", "u1")
+    w = Words(np.array([0, 3, 6, 9, 709]), np.array([3, 6, 9, 709, 1409]), np.zeros(5, "i8"), np.zeros(5, "u8"))
+    first, place = distinct_spans(w, data)
+    assert sorted(first) == [0, 1, 3, 4] and place[0] == place[2] and len(set(place.tolist())) == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -526,6 +547,45 @@ def test_inner_products_beyond_doubles(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 4096 * ((2**44 + 1) * 8 + 4)), (1, 4096 * ((2**44 + 1) * 8 + 3))]
 
 
+def brute_products(rows, k=20):
+    low, high = -(1 << 63), (1 << 63) - 1
+    top = int(np.finfo("f8").max)
+    whole = lambda x: min(max(math.floor(64 * x) if abs(x) < 1e300 else math.copysign(top, x), -top), top)
+    live = [(i, [int(whole(x)) for x in v]) for i, v in rows]
+    out = []
+    for n, (q, v) in enumerate(live):
+        if q % 20 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), low), high), c) for j, (c, w) in enumerate(live) if j != n)
+            out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def test_inner_products_ties_huge_values_and_clashing_names(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(8)]) for i in range(400)]  # few different scores: many ties
+    rows += [(500, [1e160] + [0.0] * 7), (520, [-1e160] * 8), (540, [1e307] * 8), (541, [-1e307] + [1.0] * 7), (560, [0.0] * 8), (580, [1e-300] * 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for name in ("id", "v", "row", "norm", "part", "query_id", "score", "rank"):
+        df = df.withColumn(name, F.lit("x"))
+    assert sorted(map(tuple, inner_products.top_inner_products(df).collect())) == brute_products(rows)
+
+
+def test_bounds_drop_most_pairs(spark):
+    """The bounds leave few pairs of the given vectors, none of them among the results."""
+    got = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.floor(64 * np.stack(got.embedding.to_list()).astype("f8"))
+    x, ids = x[np.argsort(-(x * x).sum(axis=1), kind="stable")], got.vec_id.to_numpy()[np.argsort(-(x * x).sum(axis=1), kind="stable")]
+    rows = np.arange(len(x))
+    asked = ids % 20 == 0
+    search = inner_products.Searcher(ids[asked], rows[asked], x[asked], np.linalg.svd(x.T @ x)[0], 20)
+    search.first_bounds(rows, x)
+    left = {(int(q), int(a + c)) for a in range(0, len(x), 256) for q, c in zip(*search.left(x[a : a + 256]), strict=True)}
+    scores = x[asked] @ x.T
+    scores[np.arange(asked.sum()), rows[asked]] = -np.inf
+    assert all((q, int(c)) in left for q in range(len(scores)) for c in np.argsort(-scores[q], kind="stable")[:20])
+    assert search.pairs_left < 0.05 * search.pairs_met and search.pairs_met == scores.size
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 def test_pipeline(spark, library):
     import corpus_pipeline as p
