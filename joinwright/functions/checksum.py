@@ -16,14 +16,16 @@ def wrap64(total: Column) -> Column:
 
 
 def wrap64_sum(*cols: Column | str) -> Column:
-    """``SUM(c1 + c2 + ...) mod 2^64`` of bigint columns read as unsigned; 0 for no rows.
+    """``SUM(c1 + c2 + ...) mod 2^64`` of bigint columns read as unsigned; 0 for no rows. A row with a null among them doesn't count.
 
     Each column is summed as three limbs in plain bigint arithmetic, which is partial-aggregated and
     code-generated, unlike sums of wide decimals; the limbs meet as decimals once per group.
     """
     terms = []
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("bigint") for c in cols]
+    whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in cols))
     for c in cols:
-        c = (F.col(c) if isinstance(c, str) else c).cast("bigint")
+        c = F.when(whole, c)
         for k in range(3):
             limb = F.shiftrightunsigned(c, LIMB * k)
             if k < 2:

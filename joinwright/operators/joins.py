@@ -88,22 +88,35 @@ def _hinted(r: DataFrame, s: Strategy, limit: int) -> DataFrame:
     return r.hint(hint)
 
 
+def radix_placed(df: DataFrame, bits: int) -> DataFrame:
+    """df with ``pid``, the key's lowest bits, each row on the Spark partition of that number.
+
+    So many of the bits as the session's shuffle partitions need; both sides of a join thus meet without a further exchange.
+    """
+    wanted = max(1, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = min(bits, wanted)
+    return df.filter(F.col("key").isNotNull()).withColumn("pid", radix_id("key", bits)).repartitionById(1 << bits, F.col("pid"))
+
+
 def join_pairs(r: DataFrame, s: DataFrame, how: str | Strategy = "shuffle_hash", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The join index: ``r_row_id, s_row_id`` for every match (or for the first per probe row).
 
-    Only keys and row ids travel. Null keys never match. For a strategy with radix bits the join is on
-    (partition number, key), so both sides are clustered by the same reproducible radix partition number.
+    Only keys and row ids travel. Null keys never match. For a strategy with radix bits both sides are placed by
+    the key's low bits, with no hash (see ``radix_placed``). One pass then joins each partition by hash; of two unequal
+    passes the second is local to the partitions, which are sorted by its bits, then by key, and merged.
     """
     how = strategy(how)
     left = r.select("key", "row_id")
     left = first_per_key(left) if how.first else left
     right = s.select("key", F.col("row_id").alias("s_row_id"))
     left = left.withColumnRenamed("row_id", "r_row_id")
-    on = ["key"]
-    if how.bits:
-        left, right = (d.withColumn("pid", radix_id("key", sum(how.bits))) for d in (left, right))
-        on = ["pid", "key"]
-    return _hinted(left, how, broadcast_limit).join(right, on).select("r_row_id", "s_row_id")
+    if not how.bits:
+        return _hinted(left, how, broadcast_limit).join(right, "key").select("r_row_id", "s_row_id")
+    left, right = (radix_placed(d, how.bits[0]) for d in (left, right))
+    if len(how.bits) == 1:
+        return left.hint("shuffle_hash").join(right, ["pid", "key"]).select("r_row_id", "s_row_id")
+    left, right = (d.withColumn("pid2", radix_id("key", how.bits[1], how.bits[0])) for d in (left, right))
+    return left.hint("merge").join(right, ["pid", "pid2", "key"]).select("r_row_id", "s_row_id")
 
 
 def join_summary(r: DataFrame, s: DataFrame, how: str | Strategy = "shuffle_hash", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import wrap64_sum
+from ..functions import brand_number, descending_places, joined_by, log2_floor, next_pow_2, text_between, wrap64_sum
 from ..operators import asymmetric_ids, histogram, join_summary, late_materialised_join, max_partition, prefix_sum, salted_join, split_join, two_pass_ids
 from ..operators.joins import STRATEGIES
 from ..sources import read_table
@@ -220,5 +220,31 @@ _gen("gen_payload", _sum_sql(_R, "SELECT range % 1024 + 1 AS key, range + 1 AS r
 _gen("gen_selectivity_40", _sum_sql(_R, "SELECT CASE WHEN range % 1024 < 409 THEN range % 1024 + 1 ELSE range % 1024 + 1025 END AS key, range + 1 AS row_id FROM range(16384)"), selectivity=0.4)
 _gen("gen_density_40", _sum_sql("SELECT range % 409 + 1 AS key, range + 1 AS row_id FROM range(1024)", "SELECT range % 409 + 1 AS key, range + 1 AS row_id FROM range(16384)"), density=0.4)
 _gen("gen_sparsity", _sum_sql("SELECT range * 4 + 1 AS key, range + 1 AS row_id FROM range(1024)", "SELECT range % 1024 * 4 + 1 AS key, range + 1 AS row_id FROM range(16384)"), sparsity=0.25)
-_gen("gen_duplicates", None)
-_gen("gen_zipf", None, theta=1.25)
+_w = workloads.Workload("duplicates", **_W)
+_keys = workloads.duplicate_key_sql
+_gen("gen_duplicates", _sum_sql(f"SELECT {_keys(_w, 'range', 'duckdb')} AS key, range + 1 AS row_id FROM range(1024)", f"SELECT {_keys(_w, '(range % 1024)', 'duckdb')} AS key, range % 1024 + 1 AS row_id FROM range(16384)"))
+_ROWS = "SELECT {key} AS key, range + 1 AS row_id FROM range(16384)"
+for _theta in (1.05, 1.25, 1.5, 1.75):
+    _w = workloads.Workload("zipf", **_W, theta=_theta)
+    _sql_key = workloads.permuted_sql(_w, workloads.zipf_rank_sql(_w, "range", "duckdb"))
+    _gen("gen_zipf" if _theta == 1.25 else f"gen_zipf_{round(100 * _theta)}", _sum_sql(_R, _ROWS.format(key=_sql_key)), theta=_theta)
+_gen("gen_zipf_gray", _sum_sql(_R, _ROWS.format(key=workloads.gray_key_sql(workloads.Workload("zipf_gray", **_W, theta=0.75), "range", "duckdb"))), theta=0.75)
+
+# --- scalars -------------------------------------------------------------------------------------
+_add(
+    "scalar_helpers",
+    lambda sp, d: read_table(sp, d, "part").select("p_partkey", next_pow_2("p_size").alias("up"), log2_floor("p_size").alias("bits"), text_between("p_name", 2, 7).alias("part_name"), joined_by("-", "p_brand", "p_type", "p_name").alias("label"), brand_number("p_brand").alias("brand")),
+    "SELECT p_partkey, CAST(2 ** ceil(log2(p_size)) AS BIGINT) AS up, CAST(floor(log2(p_size)) AS INTEGER) AS bits, substr(p_name, 3, 5) AS part_name, p_brand || '-' || p_type || '-' || p_name AS label, CAST(substr(p_brand, 7) AS INTEGER) AS brand FROM part",
+)
+
+
+def _places(sp: SparkSession, d: str) -> DataFrame:
+    rows = read_table(sp, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("s"))
+    return rows.select("s_nationkey", F.posexplode(descending_places(F.col("s.s_acctbal"))).alias("rank", "place"))
+
+
+_add(
+    "descending_places",
+    _places,
+    "SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, place) - 1 AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM (SELECT s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_acctbal) - 1 AS place FROM supplier)",
+)

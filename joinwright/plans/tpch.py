@@ -31,7 +31,8 @@ def _joined(lineitem: DataFrame, part: DataFrame, how: str | None, on: Column) -
 def q14_lineitem(lineitem: DataFrame, month: str = "1995-09-01") -> DataFrame:
     """Line items shipped in the month that begins on that day."""
     start = F.lit(month).cast("date")
-    return lineitem.filter((F.col("l_shipdate") >= start.cast("timestamp_ntz")) & (F.col("l_shipdate") < F.add_months(start, 1).cast("timestamp_ntz")))
+    kind = dict(lineitem.dtypes)["l_shipdate"]  # the bounds take the column's type, else a cast of the column would stop push-down
+    return lineitem.filter((F.col("l_shipdate") >= start.cast(kind)) & (F.col("l_shipdate") < F.add_months(start, 1).cast(kind)))
 
 
 def _revenue() -> Column:
