@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Bytes in an Arrow batch where the session has Spark's default: a batch of long texts must fit a small worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _sent: set[str] = set()
 
 
