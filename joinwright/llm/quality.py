@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
 from .ship import ship
-from .words import blocks, mix
+from .words import blocks, find_words, mix
 
-#: Bound of the labelled sample; hashed features; latent dimensions.
+#: Bound of the labelled sample; hashed features, of runs of three shapes of bytes and of words; latent dimensions.
 EXAMPLES = 8192
-FEATURES = 2048
+SHAPES, WORDS = 2048, 2048
+FEATURES = SHAPES + WORDS
 DIMENSIONS = 64
 NEIGHBOURS = 25
 #: Documents compared with all examples at a time.
@@ -27,19 +28,21 @@ _SHAPE = np.full(256, 5, "i8")
 for _c in range(256):
     _ch = chr(_c)
     _SHAPE[_c] = 3 if _c > 127 else 0 if _ch.islower() else 1 if _ch.isupper() else 2 if _ch.isdigit() else 4 if _c == 32 else 5 if _c < 32 or _c == 127 else _c - 27
-_CODE = (mix(np.arange(1 << 21, dtype="u8")) % np.uint64(FEATURES)).astype("i4")
+_CODE = (mix(np.arange(1 << 21, dtype="u8")) % np.uint64(SHAPES)).astype("i4")
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed runs of three shapes, one row a document."""
+    """Counts of hashed runs of three shapes, then of hashed words with A-Z folded; one row a document."""
     n = len(offsets) - 1
-    if len(data) < 3:
-        return np.zeros((n, FEATURES), "i4")
-    s = _SHAPE[data]
-    code = _CODE[(s[:-2] << 14) | (s[1:-1] << 7) | s[2:]]
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    inside = doc[:-2] == doc[2:]
-    return np.bincount((doc[:-2] * FEATURES + code)[inside], minlength=n * FEATURES).reshape(n, FEATURES)
+    w = find_words(data, offsets, fold=True)
+    found = [w.doc * FEATURES + SHAPES + (w.hash % np.uint64(WORDS)).astype("i8")]
+    if len(data) >= 3:
+        s = _SHAPE[data]
+        code = _CODE[(s[:-2] << 14) | (s[1:-1] << 7) | s[2:]]
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        inside = doc[:-2] == doc[2:]
+        found.append((doc[:-2] * FEATURES + code)[inside])
+    return np.bincount(np.concatenate(found), minlength=n * FEATURES).reshape(n, FEATURES)
 
 
 @dataclass
@@ -71,7 +74,7 @@ class Model:
             w = 1 / (1.02 - np.clip(c, 0, 1))
             # the prior counts as a neighbour at no similarity
             vote = ((w * self.y[near]).sum(axis=1) + self.prior) / (w.sum(axis=1) + 1)
-            out[at : at + ROWS] = np.where(part.any(axis=1), vote, self.prior)
+            out[at : at + ROWS] = np.where(part.any(axis=1), vote, self.prior)  # without features there is nothing near
         return out
 
 
@@ -83,14 +86,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in blocks(batch.column("text")):
-                rows = np.minimum(features(data, offsets), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("y").slice(at, to - at), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "counts"])
+                rows = features(data, offsets)
+                at_ = [np.flatnonzero(r) for r in rows]
+                blobs = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in ((at_, "<u2"), ([r[i] for r, i in zip(rows, at_, strict=True)], "<u4"))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("y").slice(at, to - at), *blobs], names=["id", "y", "at", "counts"])
 
-    got = sample.select(F.col("id").cast("bigint").alias("id"), "y", "text").mapInArrow(counted, "id bigint, y int, counts binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    got = sample.select(F.col("id").cast("bigint").alias("id"), "y", "text").mapInArrow(counted, "id bigint, y int, at binary, counts binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = (got.column("y").to_numpy() != 0).astype("f4")
     if not len(y):
         return Model(np.ones(FEATURES, "f4"), np.zeros((FEATURES, 1), "f4"), np.zeros((0, 1), "f4"), y, 0.5)
-    x = np.stack([np.frombuffer(b, "<u2") for b in got.column("counts").to_pylist()]).astype("f4")
+    x = np.zeros((len(y), FEATURES), "f4")
+    for row, at, n in zip(x, got.column("at"), got.column("counts"), strict=True):
+        row[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), "<u4")
+    del got
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype("f4") + 0.1
     np.log1p(x, out=x)
     x *= idf
@@ -109,8 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **more) -> DataFrame:
     """``id, held_out, score, predicted`` of every whole text, learned from labels outside the held-out fold.
 
-    One map over the documents with a broadcast model of bounded size. Texts of fewer than three bytes (null
-    and empty ones too) get the share of label 1. Null ids, repeated rows and other columns pass through; an
+    One map over the documents with a broadcast model of bounded size. Texts without words (null and empty ones) get the share of label 1. Null ids, repeated rows and other columns pass through; an
     empty table gives an empty one, and without labels every score is 0.5.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **more))

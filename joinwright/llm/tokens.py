@@ -25,15 +25,16 @@ from .ship import ship
 from .storage import saved
 from .words import LOWER, Words, blocks, distinct_spans, find_words
 
-#: Entries and bytes of the pieces in a worker's cache; a full cache is emptied.
+#: Entries of either half of a worker's cache, and bytes of their pieces. A half that is full becomes the older one, and the older one goes;
+#: what is met again is taken over, so pieces in use stay.
 CACHE = 300_000
 CACHE_BYTES = 32 << 20
 #: Entries of the broadcast table of frequent pieces, of fewer than SHORT bytes each; how many candidates each task names, and how many
 #: lists of candidates are merged at a time.
-FREQUENT = 50_000
+FREQUENT = 24_576
 SHORT = 64
-NAMED = 16_384
-MERGED = 64
+NAMED = 8192
+MERGED = 8
 
 
 def default_path() -> str:
@@ -59,8 +60,33 @@ def worker_encoder(path: str | None) -> Encoder:
     return _encoders[path]
 
 
+class Half:
+    """Stored runs of ids, by the bytes of their pieces."""
+
+    def __init__(self, room: int):
+        self.place: dict[bytes, int] = {}
+        self.ids, self.start, self.length = np.zeros(1 << 16, "u4"), np.zeros(room, "i8"), np.zeros(room, "i8")
+        self.n = self.bytes = 0
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Where they are now: ids of all pieces in turn, sizes of each."""
+        if self.n + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "u4")])
+        self.ids[self.n : self.n + len(ids)] = ids
+        at = range(len(self.place), len(self.place) + len(pieces))
+        self.start[at.start : at.stop], self.length[at.start : at.stop] = self.n + np.cumsum(sizes) - sizes, sizes
+        self.n += len(ids)
+        self.place.update(zip(pieces, at, strict=True))
+        self.bytes += sum(map(len, pieces))
+        return at
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+
+
 class Encoder:
-    """Ids of pieces through a cache from a piece's bytes to a run of stored ids."""
+    """Ids of pieces through a cache in two halves."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,38 +95,33 @@ class Encoder:
         self.library = Tokenizer.from_file(path or default_path())
         self.library.no_truncation()
         self.library.no_padding()
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.start, self.n, self.bytes = np.zeros(1 << 16, "u4"), np.zeros(CACHE, "i8"), 0, 0
-        self.length = np.zeros(CACHE, "i8")
+        self.young, self.old = Half(CACHE), Half(1)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
     def places(self, pieces: list[bytes]) -> np.ndarray:
-        """Where each of these different pieces is stored."""
-        if len(self.place) + len(pieces) > CACHE or self.bytes > CACHE_BYTES:
-            self.reset()
-            if len(pieces) > len(self.start):
-                self.start, self.length = np.zeros(len(pieces), "i8"), np.zeros(len(pieces), "i8")
-        got = [self.place.get(x, -1) for x in pieces]
-        lack = [i for i, g in enumerate(got) if g < 0]
+        """Where each of these different pieces is stored in the younger half."""
+        if len(self.young.place) + len(pieces) > len(self.young.start) or self.young.bytes > CACHE_BYTES:
+            self.young, self.old = Half(max(CACHE, len(pieces))), self.young
+        young, old = self.young, self.old
+        got = list(map(young.place.get, pieces))
+        lack = [i for i, g in enumerate(got) if g is None]
+        if lack:
+            before = [old.place.get(pieces[i]) for i in lack]
+            again = [(i, g) for i, g in zip(lack, before, strict=True) if g is not None]
+            if again:
+                at = np.array([g for _, g in again])
+                for (i, _), j in zip(again, young.add([pieces[i] for i, _ in again], old.ids[_ragged(old.start[at], old.length[at])], old.length[at]), strict=True):
+                    got[i] = j
+            lack = [i for i, g in zip(lack, before, strict=True) if g is None]
         if lack:
-            new = self.encode([pieces[i].decode() for i in lack])
+            names = [pieces[i] for i in lack]
+            new = self.encode([x.decode() for x in names])
             sizes = np.fromiter(map(len, new), "i8", len(new))
-            flat = np.fromiter(chain.from_iterable(new), "u4", int(sizes.sum()))
-            if self.n + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), "u4")])
-            self.ids[self.n : self.n + len(flat)] = flat
-            k = len(self.place)
-            self.start[k : k + len(new)], self.length[k : k + len(new)] = self.n + np.cumsum(sizes) - sizes, sizes
-            self.n += len(flat)
-            for j, i in enumerate(lack, k):
-                self.place[pieces[i]] = got[i] = j
-                self.bytes += len(pieces[i])
+            for i, j in zip(lack, young.add(names, np.fromiter(chain.from_iterable(new), "u4", int(sizes.sum())), sizes), strict=True):
+                got[i] = j
         return np.array(got, "i8")
 
     def lengths(self, words: Words, data: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
@@ -110,16 +131,16 @@ class Encoder:
         out = np.array([known.get(x, -1) for x in pieces], "i8")
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            out[miss] = self.length[self.places([pieces[i] for i in miss])]
+            at = self.places([pieces[i] for i in miss])
+            out[miss] = self.young.length[at]
         return out[place]
 
     def all_ids(self, words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in turn, ids in each piece)."""
         first, place = distinct_spans(words, data)
         at = self.places(spelled(words, data, first))[place]
-        n = self.length[at]
-        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
-        return self.ids[index], n
+        n = self.young.length[at]
+        return self.young.ids[_ragged(self.young.start[at], n)], n
 
 
 def spelled(words: Words, data: np.ndarray, at: np.ndarray) -> list[bytes]:

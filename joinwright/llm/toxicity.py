@@ -9,23 +9,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample
+from .labelled import held_out, labelled, sampled
 from .ship import ship
 from .storage import saved
 from .words import blocks, distinct, find_words, hash_spans, mix
 
-#: Bound of the labelled sample, of the vocabulary, and the examples in an index block.
-EXAMPLES = 20_000
-TERMS = 4096
+#: Bounds of the labelled sample: examples, half of either class where there are enough, and terms of all examples together.
+EXAMPLES = 4096
+POSTINGS = 6_000_000
+#: Examples in an index block. A term of more examples than there are blocks has a greatest weight for each block; of such terms at
+#: most WIDE, the most frequent, whose weights are then held as a matrix. Shorter lists are read whole.
 BLOCK_EXAMPLES = 32
-#: A term is in the vocabulary if label 1 is so many times as common among its documents, and the labels there differ from
-#: the rest's by a G statistic that this many of all terms would reach by chance.
-LEAST_LIFT = 3.0
-CHANCE_TERMS = 7.4
-LEAST_DOCS = 3
+WIDE = 2048
+#: A term is in the vocabulary if so many examples hold it.
+LEAST_DOCS = 2
 NEIGHBOURS = 15
+#: Documents whose neighbours are looked for at a time.
+ROWS = 128
 #: Words also count by their beginnings of so many bytes, so that inflected forms of a word share terms.
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 6, 8)
+#: Steps of the vote at which it is calibrated.
+STEPS = 10
 
 # A-Z fold to a-z; other ASCII than letters and digits becomes a space.
 _CLEAN = np.arange(256, dtype="u1")
@@ -48,170 +52,231 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(doc), np.concatenate(found)
 
 
-def _term_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, documents and toxic documents of each block."""
-    for batch in batches:
-        y = batch.column(1).to_numpy()
-        for at, to, data, offsets in blocks(batch.column(0)):
-            doc, term = _terms(data, offsets)
-            u, _, place = distinct(term)
-            once = np.unique(doc * (len(u) + 1) + place)
-            doc, place = once // (len(u) + 1), once % (len(u) + 1)
-            n = np.bincount(place, minlength=len(u))
-            bad = np.bincount(place, weights=y[at:to][doc], minlength=len(u)).astype("i8")
-            yield pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(n), pa.array(bad)], names=["term", "n", "bad"])
+def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, occurrences) of the different terms of each row of a block, by row."""
+    doc, term = _terms(data, offsets)
+    _, first, place = distinct(mix(term) + doc.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+    n = np.bincount(place, minlength=len(first))
+    order = np.argsort(doc[first], kind="stable")
+    return doc[first][order], term[first][order], n[order]
 
 
 class Index:
-    """Examples as inverted lists over terms; each list knows, for each block of examples, its greatest weight and its run."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray):
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(terms & np.uint64(0xFFFF)).astype("i8")] = True
-        # similar examples side by side make blocks whose bounds tell them apart
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist(), int(ids[i])))
-        self.terms, self.idf, self.y, self.ids = terms, idf, y[order], ids[order]
-        example = np.concatenate([np.full(len(vectors[i][0]), k) for k, i in enumerate(order)]) if order else np.zeros(0, "i8")
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, "i8")
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by = np.lexsort((example, term))
-        self.example, self.weight = example[by].astype("i4"), weight[by]
-        self.blocks = -(-len(order) // BLOCK_EXAMPLES)
-        key = term[by] * max(self.blocks, 1) + self.example // BLOCK_EXAMPLES
-        self.run = np.searchsorted(key, np.arange(len(terms) * max(self.blocks, 1) + 1)).reshape(-1)
-        self.most = np.zeros(len(terms) * max(self.blocks, 1))
-        np.maximum.at(self.most, key, self.weight)
-        self.most = self.most.reshape(len(terms), max(self.blocks, 1))
-
-    def vector(self, place: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(tf)) * self.idf[place]
-        return place, w / np.sqrt((w * w).sum())
-
-    def nearest(self, place: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine, ties to the earlier example: (examples, cosines). Blocks that cannot reach the k-th are not read."""
-        bound = w @ self.most[place]
-        found, score = np.zeros(0, "i8"), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) == k and bound[b] < score[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK_EXAMPLES)
-            for t, x in zip(place, w, strict=True):
-                i, j = self.run[t * self.blocks + b : t * self.blocks + b + 2]
-                sums[self.example[i:j] - b * BLOCK_EXAMPLES] += x * self.weight[i:j]
-            at = np.flatnonzero(sums > 0)
-            at = at[at + b * BLOCK_EXAMPLES != without]
-            found, score = np.concatenate([found, at + b * BLOCK_EXAMPLES]), np.concatenate([score, sums[at]])
-            top = np.lexsort((found, -score))[:k]
-            found, score = found[top], score[top]
-        return found, score
-
-    def vote(self, found: np.ndarray, score: np.ndarray) -> float:
-        if not len(found):
-            return 0.0
-        near = 1 / (1.05 - np.minimum(score, 1.0))
-        return float((near * self.y[found]).sum() / near.sum())
-
-    def of_block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(row, places, weights) of the rows that hold any term of the vocabulary."""
-        doc, term = _terms(data, offsets)
-        if not len(self.terms) or not len(term):
-            return
-        may = self.filter[(term & np.uint64(0xFFFF)).astype("i8")]
-        doc, term = doc[may], term[may]
+    """Examples as inverted lists over terms, in blocks; the lists of frequent terms know the greatest weight in each block."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, begin: np.ndarray, term: np.ndarray, tf: np.ndarray):
+        """Example i has the terms term[begin[i]:begin[i + 1]], tf times each."""
+        n = len(ids)
+        example = np.repeat(np.arange(n), np.diff(begin))
+        every, place = np.unique(term, return_inverse=True)
+        seen = np.bincount(place, minlength=len(every))
+        bad = np.bincount(place, weights=(y[example] != 0).astype("f8"), minlength=len(every))
+        known = seen >= LEAST_DOCS
+        self.terms, df = every[known], seen[known]
+        self.new = np.log(1 + n)  # the weight of a term that is not in the vocabulary
+        self.weight = np.log(1 + n / df) * np.sqrt(1 + evidence(df, bad[known], n, float((y != 0).sum())))
+        at = np.where(known, np.cumsum(known) - 1, -1)[place]
+        w = (1 + np.log(tf)) * np.where(at >= 0, self.weight[at] if len(self.terms) else 0.0, self.new)
+        w /= np.sqrt(np.maximum(np.bincount(example, weights=w * w, minlength=n), 1e-300))[example]
+        example, at, w = example[at >= 0], at[at >= 0], w[at >= 0]
+        # examples with the same heaviest terms side by side make blocks whose bounds tell them apart
+        heavy = np.full(n, -1)
+        by = np.lexsort((w, example))
+        heavy[example[by]] = at[by]
+        order = np.lexsort((ids, heavy, y))
+        self.ids, self.y = ids[order], y[order].astype("f8")
+        rank = np.empty(n, "i8")
+        rank[order] = np.arange(n)
+        example = rank[example]
+        by = np.lexsort((example, at))
+        example, at, w = example[by], at[by], w[by]
+        self.n, self.blocks = n, -(-n // BLOCK_EXAMPLES)
+        self.wide = np.full(len(self.terms), -1, "i4")
+        wide = np.flatnonzero(df > self.blocks)
+        wide = np.sort(wide[np.lexsort((wide, -df[wide]))[:WIDE]])
+        self.wide[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((len(wide), self.blocks * BLOCK_EXAMPLES), "f4")
+        in_wide = self.wide[at] >= 0
+        self.matrix[self.wide[at[in_wide]], example[in_wide]] = w[in_wide]
+        self.most = self.matrix.reshape(len(wide), self.blocks, BLOCK_EXAMPLES).max(axis=2) if len(wide) else np.zeros((0, self.blocks), "f4")
+        self.example, self.value = example[~in_wide].astype("u2"), w[~in_wide].astype("f4")
+        self.begin = np.searchsorted(at[~in_wide], np.arange(len(self.terms) + 1)).astype("i4")
+        #: Blocks that the bounds let through, of all blocks looked at.
+        self.read = self.looked = 0
+
+    def vectors(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the vocabulary, weight) of the known terms; lengths are those of the whole texts' vectors."""
+        if not len(self.terms):
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        pair, tf = np.unique(doc[hit] * len(self.terms) + at[hit], return_counts=True)
-        doc, place = pair // len(self.terms), pair % len(self.terms)
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, "i8")
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            yield (int(doc[i]), *self.vector(place[i:j], tf[i:j]))
+        w = (1 + np.log(tf)) * np.where(hit, self.weight[at], self.new)
+        w /= np.sqrt(np.maximum(np.bincount(doc, weights=w * w, minlength=rows), 1e-300))[doc]
+        return doc[hit], at[hit], w[hit]
+
+    def nearest(self, doc: np.ndarray, place: np.ndarray, w: np.ndarray, rows: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The NEIGHBOURS examples of greatest cosine of each row, ties to the earlier one: (examples, cosines), rows by neighbours.
+
+        Short lists are summed whole. With the greatest weights of frequent terms that bounds every block; the block of the
+        greatest bound gives a row its first k-th cosine, and blocks that cannot reach it are not read.
+        """
+        width = self.blocks * BLOCK_EXAMPLES
+        k = min(NEIGHBOURS, self.n)
+        narrow = self.wide[place] < 0
+        d, p, x = doc[narrow], place[narrow], w[narrow]
+        n = (self.begin[p + 1] - self.begin[p]).astype("i8")
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[p], n)
+        sums = np.bincount(np.repeat(d * width, n) + self.example[at], weights=np.repeat(x, n) * self.value[at], minlength=rows * width).reshape(rows, width)
+        x = np.zeros((rows, len(self.matrix)), "f4")
+        x[doc[~narrow], self.wide[place[~narrow]]] = w[~narrow]
+        sums[:, self.n :] = -1  # beyond the last example
+        if without is not None:
+            sums[np.arange(rows), without] = -1e9
+        bound = sums.reshape(rows, self.blocks, BLOCK_EXAMPLES).max(axis=2) + x @ self.most + 1e-5
+        done = np.full((rows, self.blocks), False)
+        out = np.full((rows, self.blocks, BLOCK_EXAMPLES), -2.0)
+
+        def read(r: np.ndarray, b: int) -> None:
+            if len(r):
+                cut = slice(b * BLOCK_EXAMPLES, (b + 1) * BLOCK_EXAMPLES)
+                out[r, b] = sums[r, cut] + x[r] @ self.matrix[:, cut]
+                done[r, b] = True
+
+        best = bound.argmax(axis=1)
+        for b in np.unique(best):
+            read(np.flatnonzero(best == b), b)
+        first = out[np.arange(rows), best]
+        kth = np.partition(first, -k, axis=1)[:, -k] if k <= BLOCK_EXAMPLES else np.full(rows, -2.0)
+        for b in np.argsort(-bound.max(axis=0), kind="stable"):
+            read(np.flatnonzero((bound[:, b] >= kth) & ~done[:, b]), b)
+        self.read += int(done.sum())
+        self.looked += done.size
+        out = out.reshape(rows, width)
+        kth = np.partition(out, -k, axis=1)[:, -k]
+        found, score = np.full((rows, k), -1), np.full((rows, k), -2.0)
+        r, e = np.nonzero(out >= kth[:, None])
+        s = out[r, e]
+        by = np.lexsort((e, -s, r))
+        r, e, s = r[by], e[by], s[by]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, e, s, nth = (v[nth < k] for v in (r, e, s, nth))
+        found[r, nth], score[r, nth] = e, s
+        return found, score
+
+    def votes(self, found: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The share of label 1 among neighbours with any term in common, nearer ones weighing more; 0 where there are none."""
+        near = np.where(score > 0, 1 / (1.05 - np.clip(score, 0, 1)), 0)
+        return (near * self.y[found]).sum(axis=1) / np.maximum(near.sum(axis=1), 1e-300)
+
+
+def evidence(df: np.ndarray, bad: np.ndarray, total: int, bad_total: float) -> np.ndarray:
+    """How strongly terms speak for label 1: the G statistic of their examples' labels against those of all, 0 where label 1 is no more common."""
+    share = min(max(bad_total / max(total, 1), 1e-9), 1 - 1e-9)
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / expected), 0)
+    g = 2 * (part(bad, df * share) + part(df - bad, df * (1 - share)))
+    return np.where(bad > df * share, np.maximum(g, 0), 0)
 
 
 class Model:
-    """An index with the calibration of its votes: probabilities at ten steps of the vote, and without evidence."""
+    """An index with the calibration of its votes: probabilities at STEPS steps of the vote, and without evidence."""
 
     def __init__(self, index: Index, none: float, steps: np.ndarray):
         self.index, self.none, self.steps = index, none, steps
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, (np.arange(len(self.steps)) + 0.5) / len(self.steps), self.steps))
-
-    def score(self, place: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
-        found, cosine = self.index.nearest(place, w, NEIGHBOURS)
-        return self.calibrated(self.index.vote(found, cosine)) if len(found) else self.none, self.index.ids[found[:3]].tolist()
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """(score, ids of the nearest examples) of the rows of a block."""
+        rows = len(offsets) - 1
+        score, near = np.full(rows, self.none), [[] for _ in range(rows)]
+        if not self.index.n:
+            return score, near
+        doc, term, tf = term_counts(data, offsets)
+        for a in range(0, rows, ROWS):
+            i, j = np.searchsorted(doc, [a, min(a + ROWS, rows)])
+            n = min(ROWS, rows - a)
+            found, cosine = self.index.nearest(*self.index.vectors(doc[i:j] - a, term[i:j], tf[i:j], n), n)
+            votes = self.index.votes(found, cosine)
+            # a hundredth of the vote keeps the order where calibration is flat
+            votes = 0.99 * np.interp(votes, (np.arange(STEPS) + 0.5) / STEPS, self.steps) + 0.01 * votes
+            some = cosine[:, 0] > 0
+            score[a : a + n] = np.where(some, votes, self.none)
+            for r in np.flatnonzero(some):
+                near[a + r] = self.index.ids[found[r, :3][cosine[r, :3] > 0]].tolist()
+        return score, near
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 4, remainder: int = 2) -> Model:
-    """Learns from at most ``examples`` labelled documents outside the held-out fold.
+    """Learns from at most ``examples`` labelled documents outside the held-out fold, half of either class where there are enough.
 
-    Terms are counted over the whole sample in a distributed aggregate; those tied to label 1, at most TERMS
-    of them, make the vocabulary. The examples that hold any of them are indexed; their own votes, each
-    without itself, calibrate the score. Without labels every score is 0.5; with one class alone, near it.
+    All of them are indexed, with all terms that LEAST_DOCS of them hold. A term's weight is its inverse document
+    frequency, times the root of one more than the evidence that it gives for label 1. The examples' own votes, each without
+    itself, calibrate the score; the classes count by how many labelled documents they have. Without labels every score is
+    0.5; with one class alone, near it.
     """
-    ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, modulus, remainder, examples, id_col, text_col)
-    classes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    good, bad = classes.get(0, 0), sum(n for y, n in classes.items() if y != 0)
-    total = good + bad
-    counts = sample.select("text", F.when(F.col("y") != 0, 1).otherwise(0).alias("y")).mapInArrow(_term_documents, "term bigint, n bigint, bad bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    share = bad / total if total else 0.0
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    n, b = F.col("n"), F.col("bad")
-    if 0 < share < 1:
-        g = 2 * (part(b, n * share) + part(n - b, n * (1 - share)) + part(F.lit(bad) - b, (F.lit(total) - n) * share + 1e-9) + part(F.lit(good) - (n - b), (F.lit(total) - n) * (1 - share) + 1e-9))
-        counts = saved(counts.filter(n >= LEAST_DOCS))
-        least_g = 2 * np.log(max(counts.count(), 1) / CHANCE_TERMS)
-        vocabulary = counts.filter((b > n * min(LEAST_LIFT * share, (1 + share) / 2))).withColumn("g", g).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(TERMS).toPandas()
-    else:
-        vocabulary = None
-    if vocabulary is None or not len(vocabulary):
-        return Model(Index(np.zeros(0, "u8"), np.zeros(0), [], np.zeros(0), np.zeros(0, "i8")), (bad + 0.5) / (total + 1), np.full(10, 0.5))
-    terms = vocabulary["term"].to_numpy("i8").view("u8")
-    by = np.argsort(terms)
-    idf = np.log(1 + total / vocabulary["n"].to_numpy("f8")[by])
-    empty = Index(terms[by], idf, [], np.zeros(0), np.zeros(0, "i8"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    ship(spark)
+    known = labelled(labels, label, modulus, remainder, id_col)
+    totals = {bool(r.bad): r.n for r in known.groupBy((F.col("y") != 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
+    good, bad = totals.get(False, 0), totals.get(True, 0)
+    none = (bad + 0.5) / (good + bad + 1)
+    empty = Model(Index(np.zeros(0, "i8"), np.zeros(0), np.zeros(1, "i8"), np.zeros(0, "u8"), np.zeros(0)), none, np.full(STEPS, 0.5))
+    if not good or not bad:
+        return empty
+    most_bad = min(bad, max(examples // 2, examples - good))
+    first = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
+    chosen = first(known.filter("y <> 0"), most_bad).union(first(known.filter("y = 0"), examples - most_bad))
+    sample = sampled(docs, chosen, id_col, text_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, _, data, offsets in blocks(batch.column("text")):
-                rows = list(empty.of_block(data, offsets))
-                take = pa.array([at + r for r, _, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("y").take(take), pa.array([p.tolist() for _, p, _ in rows], pa.list_(pa.int64())), pa.array([w.tolist() for _, _, w in rows], pa.list_(pa.float64()))], names=["id", "y", "place", "w"])
-
-    held = saved(sample.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "text").mapInArrow(vectors, "id bigint, y int, place array<bigint>, w array<double>"))
-    got = held.toPandas().sort_values("id")
-    y = got["y"].to_numpy("f8")
-    index = Index(terms[by], idf, [(np.asarray(p, "i8"), np.asarray(w)) for p, w in zip(got["place"], got["w"], strict=True)], y, got["id"].to_numpy("i8"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+            for at, to, data, offsets in blocks(batch.column("text")):
+                doc, term, tf = term_counts(data, offsets)
+                cut = np.searchsorted(doc, np.arange(to - at + 1))
+                blobs = lambda x, cut=cut: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("y").slice(at, to - at), pa.array(np.diff(cut)), blobs(term), blobs(tf.astype("u4"))], names=["id", "y", "n", "term", "tf"])
+
+    held = saved(sample.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "text").mapInArrow(count, "id bigint, y int, n bigint, term binary, tf binary"))
+    sizes = held.select("id", "y", "n", F.xxhash64("id").alias("h")).toPandas().sort_values(["h", "id", "y"])
+    within = sizes[sizes["n"].cumsum() <= POSTINGS]
+    last = within["h"].max() if len(within) else None
+    held = held.filter(F.xxhash64("id") <= int(last)) if len(within) < len(sizes) and last is not None else held
+    got = held.toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    y = got.column("y").to_numpy()
+    if not len(y) or y.min() == y.max():
+        return empty
+    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in got.column(name).to_pylist()])
+    index = Index(got.column("id").to_numpy(), y, np.concatenate([[0], np.cumsum(got.column("n").to_numpy())]), join("term", "u8"), join("tf", "u4").astype("f8"))
+    del got
+    shared = spark.sparkContext.broadcast(index)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        at = {int(i): k for k, i in enumerate(own.ids)}
+        at = {(int(i), int(z)): k for k, (i, z) in enumerate(zip(own.ids, own.y, strict=True))}
         for batch in batches:
-            votes = []
-            for i, place, w in zip(batch.column("id").to_pylist(), batch.column("place").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                votes.append(own.vote(*own.nearest(np.array(place, "i8"), np.array(w), NEIGHBOURS, without=at[i])))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(np.minimum((np.array(votes) * 10).astype("i4"), 9) if votes else [], pa.int32())], names=["y", "step"])
-
-    hits, all_ = np.zeros(10), np.zeros(10)
-    spread = held.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    for r in spread.mapInArrow(own_votes, "y int, step int").groupBy("step").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).collect():
-        hits[r.step], all_[r.step] = r.hits, r.n
-    # each step's observed share, drawn to its own vote by one pseudo-example, and made monotone
-    raw = (hits + (np.arange(10) + 0.5) / 10) / (all_ + 1)
-    steps = np.maximum.accumulate(raw)
-    none_bad, none_all = bad - int(index.y.sum()), total - len(index.y)
-    return Model(index, (max(none_bad, 0) + share) / (none_all + 1), np.minimum(steps, 1.0))
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                n = part.column("n").to_numpy()
+                term, tf = (np.concatenate([np.frombuffer(x, kind) for x in part.column(c).to_pylist()]) for c, kind in (("term", "u8"), ("tf", "u4")))
+                without = np.array([at[i, z] for i, z in zip(part.column("id").to_pylist(), part.column("y").to_pylist(), strict=True)])
+                found, cosine = own.nearest(*own.vectors(np.repeat(np.arange(len(n)), n), term, tf.astype("f8"), len(n)), len(n), without)
+                step = np.where(cosine[:, 0] > 0, np.minimum((own.votes(found, cosine) * STEPS).astype("i4"), STEPS - 1), -1)
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(step, pa.int32())], names=["y", "step"])
+
+    hits, misses = np.zeros(STEPS), np.zeros(STEPS)
+    for r in held.repartition(spark.sparkContext.defaultParallelism).mapInArrow(own_votes, "y int, step int").groupBy("step").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).collect():
+        if r.step >= 0:
+            hits[r.step], misses[r.step] = r.hits, r.n - r.hits
+    shared.unpersist()
+    # each step's observed share, the classes as frequent as among all labels, drawn to its own vote by one pseudo-example, and made monotone
+    hits, misses = hits * bad / (y != 0).sum(), misses * good / (y == 0).sum()
+    steps = np.maximum.accumulate((hits + (np.arange(STEPS) + 0.5) / STEPS) / (hits + misses + 1))
+    return Model(index, none, np.minimum(steps, 1.0))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """``id, score, predicted, evidence`` of every whole text (evidence: ids of the nearest examples), or docs' own columns with ``keep``, of the rows not predicted toxic.
 
     One map over the documents with a broadcast model of bounded size. Null and empty texts, and texts without
-    a term of the vocabulary, get the share of label 1 among such examples. Null ids, repeated rows and other
+    a term of the vocabulary, get the share of label 1 among the labels. Null ids, repeated rows and other
     columns pass; with ``keep`` names may be anything, as columns go by position. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
@@ -223,13 +288,11 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for batch in batches:
             column = batch.column(text_at if keep is not None else 1)
             for at, to, data, offsets in blocks(column):
-                score, evidence = np.full(to - at, own.none), [[] for _ in range(to - at)]
-                for row, place, w in own.index.of_block(data, offsets):
-                    score[row], evidence[row] = own.score(place, w)
+                score, near = own.score(data, offsets)
                 if keep is not None:
                     yield batch.slice(at, to - at).filter(pa.array(score < threshold))
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(score), pa.array((score >= threshold).astype("i4")), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "predicted", "evidence"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(score), pa.array((score >= threshold).astype("i4")), pa.array(near, pa.list_(pa.int64()))], names=["id", "score", "predicted", "evidence"])
 
     if keep is not None:
         plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold any character

@@ -12,7 +12,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from joinwright.llm import context_mixing, inner_products, ngram_join, packing, quality, registry, toxicity, warc
+from joinwright.llm import context_mixing, inner_products, ngram_join, packing, quality, registry, toxicity, warc, words
 from joinwright.llm.components import components
 from joinwright.llm.exact_dedup import exact_dedup
 from joinwright.llm.mixing import mix_sources, mixed_documents
@@ -218,6 +218,20 @@ def test_tokens_of_woven_words(spark, library):
     assert {k: [x for _, v in sorted(p) for x in v] for k, p in pieces.items()} == {k: [*x, 2] for k, x in enumerate(want)}
 
 
+def test_halves_of_the_cache(library, monkeypatch):
+    """Pieces are found, taken over or encoded anew, whatever has gone before."""
+    from joinwright.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    own, rng = tokens.Encoder(default_path()), random.Random(1)
+    names = [f"piece{i}of{i * 7}" for i in range(200)]
+    for _ in range(60):
+        some = rng.sample(names, rng.randrange(1, 80))
+        at = own.places([x.encode() for x in some])
+        got = [own.young.ids[s : s + n].tolist() for s, n in zip(own.young.start[at], own.young.length[at], strict=True)]
+        assert got == library_ids(library, some)
+
+
 def test_words_that_share_a_hash_are_compared():
     from joinwright.llm.words import Words, distinct_spans
 
@@ -380,22 +394,140 @@ def test_quality_held_out(spark):
     assert list(scored.held_out) == [zlib.crc32(str(d).encode()) % 3 == 1 for d in scored.doc_id]
 
 
-def test_block_max_index_is_exact():
+def brute_terms(text):
+    """Terms by plain loops: runs of letters, digits and non-ASCII bytes, and the beginnings of longer ones."""
+    clean = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in (text or "").encode())
+    words = clean.split()
+    return collections.Counter([(0, w) for w in words] + [(n, w[:n]) for n in toxicity.BEGINNINGS for w in words if len(w) > n])
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Scores, neighbours and calibration by dense vectors over all terms of all examples; blocks small enough to be skipped."""
+    monkeypatch.setattr(toxicity, "BLOCK_EXAMPLES", 16)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    text = texts(spark, SMALL)
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.toxic is not None and r.doc_id in text}
+    of = {}
+    for d in sorted(y):
+        of.setdefault((text[d] or "", y[d]), d)
+    ids = sorted(of.values())
+    counts = {d: brute_terms(t) for d, t in text.items()}
+    df = collections.Counter(t for d in ids for t in counts[d])
+    bad = collections.Counter(t for d in ids if y[d] for t in counts[d])
+    n, share = len(ids), sum(y[d] for d in ids) / len(ids)
+
+    def weight(t):
+        if df[t] < 2:
+            return math.log(1 + n)
+        e, b, k = df[t] * share, bad[t], df[t]
+        g = 2 * ((b * math.log(b / e) if b else 0) + ((k - b) * math.log((k - b) / (k * (1 - share))) if k > b else 0))
+        return math.log(1 + n / k) * math.sqrt(1 + (g if b > e else 0))
+
+    def vector(d):
+        w = {t: (1 + math.log(c)) * weight(t) for t, c in counts[d].items()}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / size for t, x in w.items() if df[t] >= 2}
+
+    example = {d: vector(d) for d in ids}
+    cosines = lambda v, but=None: sorted(((sum(x * example[d].get(t, 0) for t, x in v.items()) if d != but else -9, d) for d in ids), reverse=True)
+
+    def vote(near):
+        w = [(1 / (1.05 - min(c, 1)), y[d]) for c, d in near if c > 0]
+        return sum(a * b for a, b in w) / sum(a for a, _ in w)
+
+    def settled(near):  # examples as near as the last one make the choice among them arbitrary
+        return near[14][0] - near[15][0] > 1e-5
+
+    hits, all_ = np.zeros(10), np.zeros(10)
+    for d in ids:
+        if (near := cosines(example[d], d))[0][0] > 0:
+            step = min(int(vote(near[:15]) * 10), 9)
+            hits[step] += y[d]
+            all_[step] += 1
+    middle = (np.arange(10) + 0.5) / 10
+    steps = np.minimum(np.maximum.accumulate((hits + middle) / (all_ + 1)), 1)
+    model = toxicity.fit(docs, labels)
+    assert len(model.index.terms) == sum(k >= 2 for k in df.values()) and model.index.n == n
+    assert np.allclose(model.steps, steps, atol=0.02)
+    got = {r.id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    checked = 0
+    for d in text:
+        near = cosines(vector(d))
+        if near[0][0] > 0 and settled(near):
+            v = vote(near[:15])
+            assert abs(got[d].score - (0.99 * np.interp(v, middle, model.steps) + 0.01 * v)) < 1e-3
+            assert near[0][0] - near[1][0] < 1e-5 or got[d].evidence[0] == near[0][1]
+            checked += 1
+    assert checked > 100
+
+
+def test_blocks_out_of_reach_are_not_read():
     rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(500):
-        place = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.random(len(place))
-        vectors.append((place, w / np.sqrt((w * w).sum())))
-    index = toxicity.Index(np.arange(40, dtype="u8"), np.ones(40), vectors, np.zeros(500), np.arange(500))
-    dense = np.zeros((500, 40))
-    for row, i in enumerate(index.ids):
-        dense[row, vectors[i][0]] = vectors[i][1]
-    for place, w in vectors[:60]:
-        found, score = index.nearest(place, w, 15)
-        all_ = dense[:, place] @ w
-        want = [i for i in np.lexsort((np.arange(500), -np.round(all_, 12)))[:15] if all_[i] > 0]
-        assert np.allclose(score, all_[want]) and len(found) == len(want)
+    n = 640
+    term = [np.unique(rng.choice(50, 6)) + 50 * (i // 64) for i in range(n)]
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in term])])
+    index = toxicity.Index(np.arange(n), np.arange(n) % 2, begin, np.concatenate(term).astype("u8"), np.ones(begin[-1]))
+    dense = np.zeros((n, len(index.terms)))
+    doc, place, w = index.vectors(np.repeat(np.arange(n), np.diff(begin)), np.concatenate(term).astype("u8"), np.ones(begin[-1]), n)
+    dense[doc, place] = w
+    found, score = index.nearest(doc, place, w, n)
+    want = -np.sort(-(dense @ dense.T), axis=1)[:, :15]
+    assert np.allclose(np.maximum(score, 0), want, atol=1e-5) and index.read < 0.4 * index.looked
+
+
+def test_quality_against_brute_force(spark):
+    """Features by plain loops, an exact decomposition, cosines and votes one by one."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    text = texts(spark, SMALL)
+    model = quality.fit(docs, labels)
+    got = {r.id: r.score for r in quality.quality(docs, labels).collect()}
+
+    def counted(t):
+        x = np.zeros(quality.FEATURES)
+        data = (t or "").encode()
+        s = [int(quality._SHAPE[c]) for c in data]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            x[quality._CODE[(a << 14) | (b << 7) | c]] += 1
+        for w in data.split():
+            part = np.frombuffer(w, "u1")
+            x[quality.SHAPES + int(words.hash_spans(part, np.array([0]), np.array([len(w)]), fold=True)[0] % np.uint64(quality.WORDS))] += 1
+        return x
+
+    raw = {d: counted(t) for d, t in text.items()}
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.quality is not None and r.doc_id in text}
+    of = {}
+    for d in sorted(y):
+        of.setdefault((text[d] or "", y[d]), d)
+    ids = sorted(of.values())
+    x = np.array([raw[d] for d in ids])
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1
+
+    def unit(v):
+        return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+
+    x = unit(np.log1p(x) * idf)
+    top = np.linalg.svd(x, full_matrices=False)
+    d = model.basis.shape[1]
+    assert np.linalg.norm(x @ model.basis) ** 2 > 0.995 * (top[1][:d] ** 2).sum()  # it spans what the exact one does
+    z = unit(x @ model.basis)
+    for k, t in text.items():
+        if not (t or "").split():
+            assert math.isclose(got[k], np.mean([y[i] for i in ids]), rel_tol=1e-5)
+            continue
+        c = z @ unit(np.log1p(raw[k]) * idf @ model.basis)
+        near = np.argsort(-c, kind="stable")[: quality.NEIGHBOURS + 1]
+        if c[near[-2]] - c[near[-1]] < 1e-6:
+            continue
+        w = 1 / (1.02 - np.clip(c[near[:-1]], 0, 1))
+        prior = np.mean([y[i] for i in ids])
+        assert abs(got[k] - ((w * [y[ids[i]] for i in near[:-1]]).sum() + prior) / (w.sum() + 1)) < 2e-3
+
+
+def test_quality_tells_words_of_equal_shape_apart():
+    one, two = (np.frombuffer(t, "u1") for t in (b"good words all over", b"evil crimp out luck"))
+    a, b = (quality.features(t, np.array([0, len(t)]))[0] for t in (one, two))
+    assert (a[: quality.SHAPES] == b[: quality.SHAPES]).all() and (a != b).any()
 
 
 def test_label_edges(spark, edges, none):
