@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._saved_at)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what ``saved`` has written for this application; only for use when no result of an operator is still to be read."""
     _delete(spark, f"{own_folder(spark)}/*")
