@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, saved, small_or_shuffled
+from .storage import BROADCAST_ROWS, GROUPS, saved, small_or_shuffled
 
 #: Characters that do not count: space and \t \n \v \f \r.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Characters of the normalised text that the second step hashes.
 PREFIX = 128
-#: Groups of so great a share of all rows, as one in GROUPS, or of two where rows are few, are broadcast: GROUPS at most.
-GROUPS = 50_000
 
 
 def normalised(text: Column) -> Column:

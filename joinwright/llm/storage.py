@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a bounded lookup table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -90,3 +91,20 @@ def bucket_count(df: DataFrame, per_bucket: int = 32 << 20) -> int:
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most ``limit`` rows, else as it is (a shuffled join)."""
     return df.hint("broadcast") if df.limit(limit + 1).count() <= limit else df
+
+
+#: Groups of so great a share of all rows, as one in GROUPS, or of two where rows are few, may be broadcast: there are GROUPS at most.
+GROUPS = 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left-joined to groups (saved, with the rows of each group as ``n``): no group, however large, meets in one task.
+
+    Few groups are broadcast; of many, those that hold a fixed share of the rows, and only the rows of the others are shuffled.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(groups.hint("broadcast"), key, "left")
+    large = F.col("n") >= max(2, total // GROUPS)
+    big = groups.filter(large).hint("broadcast")
+    rest = rows.join(big.select(key), key, "left_anti").join(groups.filter(~large), key, "left")
+    return rows.join(big, key).unionByName(rest)

@@ -735,11 +735,37 @@ def test_warc_revisits_and_edges(spark):
 def test_warc_reader_rejects_damage():
     good = warc.record(1, "u", b"hello" * 500) + warc.record(2, "v", b"")
     assert [r.page_id for r in warc.read_archive(good)] == [1, 2]
-    raw = next(iter(warc.members(memoryview(good))))
+    raw = b"".join(next(iter(warc.members(memoryview(good)))))
     packed = lambda b: (lambda z: z.compress(bytes(b)) + z.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
     for bad in (good[:-5], packed(raw.replace(b"hello", b"hellO", 1)), packed(raw + b"x"), packed(raw.replace(b"WARC/1.1", b"WARC/9.9")), good[:40] + b"\0\0\0" + good[43:]):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(bad))
+    big = packed(raw.split(b"\r\n\r\n", 1)[0] + b"\r\n\r\n" + b"\0" * (64 << 20))  # far more than it states: not read to its end
+    with pytest.raises(warc.WarcError, match="frame"):
+        list(warc.read_archive(big))
+    bare = b"\r\n".join(x for x in raw.split(b"\r\n") if not x.startswith(b"WARC-Payload-Digest"))
+    assert [r.payload_sha1 for r in warc.read_archive(packed(bare))] == [hashlib.sha1(b"hello" * 500).hexdigest()]
+
+
+def test_warc_revisits_are_held_against_their_response(spark):
+    good = warc.record(1, "u", b"x" * 2000)
+    row = lambda data: spark.createDataFrame([("a", bytearray(data))], "path string, content binary")
+    records = lambda data: warc.resolved(warc.read_archives(row(data))).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in records(good + warc.EMPTY + warc.record(2, "u", b"x" * 2000, 1))) == [(1, 2000), (2, 2000)]
+    for other in (warc.record(2, "u", b"y" * 2000, 1), warc.record(2, "u", b"x" * 2000, 7)):
+        with pytest.raises(Exception, match="isn't there"):
+            records(good + other)
+
+
+def test_groups_beyond_a_broadcast(spark, monkeypatch):
+    from joinwright.llm import storage
+
+    rows = spark.createDataFrame([(k, i) for i in range(200) for k in [["hot", f"k{i % 30}", None][i % 3]]], "key string, v bigint")
+    groups = storage.saved(rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")))
+    want = sorted(map(tuple, storage.join_groups(rows, groups, "key", 200).select("key", "v", "n").collect()), key=repr)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(storage, "GROUPS", 10)
+    assert sorted(map(tuple, storage.join_groups(rows, groups, "key", 200).select("key", "v", "n").collect()), key=repr) == want and len(want) == 200
 
 
 # --- inner products ------------------------------------------------------------------------------
