@@ -183,6 +183,17 @@ def test_fixed_files_are_split_and_checked(spark, tmp_path):
     assert read_fixed(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_phases_and_task_skew(spark):
+    from joinwright.plans.metrics import measured
+
+    r, s = workloads.generate(spark, workloads.Workload("uniform", 1024, 65536))
+    plain = measured(join_summary(r, s, "phj_radix_bc"))
+    assert plain["rows"][0][0] == 65536 and plain["seconds"] > 0 and plain["task_skew"] >= 1
+    assert {"build", "shuffle_write"} <= plain["phases"].keys()
+    assert "sort" in measured(join_summary(r, s, "merge"))["phases"]
+    assert "broadcast" in measured(join_summary(r, s, "nphj_sc"))["phases"]
+
+
 def test_running_summary(spark, tmp_path):
     from joinwright.streaming import running_summary
 
