@@ -14,10 +14,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, a laptop), a temporary folder that is then set for the session."""
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, or on a single machine (tests, a laptop) a temporary one, that is then set for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="joinwright-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = "file://" + tempfile.mkdtemp(prefix="joinwright-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/joinwright-tables"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -757,6 +757,22 @@ def test_warc_revisits_are_held_against_their_response(spark):
             records(good + other)
 
 
+def test_shared_folder(monkeypatch):
+    """The cluster's folder where it names one; without, never a machine's own folder on a cluster."""
+    from types import SimpleNamespace
+
+    from joinwright.llm.storage import shared_folder
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    session = lambda master, **conf: SimpleNamespace(conf=Conf({"spark.sql.warehouse.dir": "hdfs://warehouse/", **conf}), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("yarn", **{"spark.checkpoint.dir": "s3://there/"})) == "s3://there"
+    assert shared_folder(session("local-cluster[2,1,1024]")) == shared_folder(session("spark://host:1")) == "hdfs://warehouse/joinwright-tables"
+    assert shared_folder(session("local[4]")).startswith("file:///")
+
+
 def test_groups_beyond_a_broadcast(spark, monkeypatch):
     from joinwright.llm import storage
 
