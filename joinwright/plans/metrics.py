@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import join_pairs, join_summary
 
 # Which metric of which operator makes up a phase; Spark gives these in milliseconds, or in nanoseconds where marked so.
 PHASES = {
@@ -80,3 +83,10 @@ def measured(df: DataFrame) -> dict:
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return {"rows": rows, "seconds": seconds, "phases": phases(df), "task_skew": task_skew(spark, group)}
+
+
+def retrieval(r: DataFrame, s: DataFrame, how: str) -> dict:
+    """Seconds of a late-materialising strategy: of the join index alone, of all, and what fetching the rows adds."""
+    index = measured(join_pairs(r, s, how).agg(F.count("*"), F.bit_xor("s_row_id")))
+    whole = measured(join_summary(r, s, how))
+    return {"index": index["seconds"], "total": whole["seconds"], "retrieve": max(whole["seconds"] - index["seconds"], 0.0), "rows": whole["rows"]}

@@ -184,7 +184,7 @@ def test_fixed_files_are_split_and_checked(spark, tmp_path):
 
 
 def test_phases_and_task_skew(spark):
-    from joinwright.plans.metrics import measured
+    from joinwright.plans.metrics import measured, retrieval
 
     r, s = workloads.generate(spark, workloads.Workload("uniform", 1024, 65536))
     plain = measured(join_summary(r, s, "phj_radix_bc"))
@@ -192,6 +192,9 @@ def test_phases_and_task_skew(spark):
     assert {"build", "shuffle_write"} <= plain["phases"].keys()
     assert "sort" in measured(join_summary(r, s, "merge"))["phases"]
     assert "broadcast" in measured(join_summary(r, s, "nphj_sc"))["phases"]
+    unique = s.withColumn("row_id", F.monotonically_increasing_id())
+    apart = retrieval(r, unique, "ptr_phj_radix_bc")
+    assert apart["rows"][0][0] == 65536 and 0 < apart["index"] and apart["retrieve"] <= apart["total"]
 
 
 def test_running_summary(spark, tmp_path):
