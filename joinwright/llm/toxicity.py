@@ -20,7 +20,7 @@ POSTINGS = 6_000_000
 #: Examples in an index block. A term of more examples than there are blocks has a greatest weight for each block; of such terms at
 #: most WIDE, the most frequent, whose weights are then held as a matrix. Shorter lists are read whole.
 BLOCK_EXAMPLES = 32
-WIDE = 2048
+WIDE = 512
 #: A term is in the vocabulary if so many examples hold it.
 LEAST_DOCS = 2
 NEIGHBOURS = 15
@@ -67,29 +67,33 @@ class Index:
     def __init__(self, ids: np.ndarray, y: np.ndarray, begin: np.ndarray, term: np.ndarray, tf: np.ndarray):
         """Example i has the terms term[begin[i]:begin[i + 1]], tf times each."""
         n = len(ids)
-        example = np.repeat(np.arange(n), np.diff(begin))
-        every, place = np.unique(term, return_inverse=True)
+        # arrays over all terms of all examples are kept narrow and few: the driver holds them
+        example = np.repeat(np.arange(n, dtype="i4"), np.diff(begin))
+        every, place = distinct(term)[0::2]
+        place = place.astype("i4")
         seen = np.bincount(place, minlength=len(every))
-        bad = np.bincount(place, weights=(y[example] != 0).astype("f8"), minlength=len(every))
+        bad = np.bincount(place[np.repeat(y != 0, np.diff(begin))], minlength=len(every))
         known = seen >= LEAST_DOCS
         self.terms, df = every[known], seen[known]
         self.new = np.log(1 + n)  # the weight of a term that is not in the vocabulary
         self.weight = np.log(1 + n / df) * np.sqrt(1 + evidence(df, bad[known], n, float((y != 0).sum())))
-        at = np.where(known, np.cumsum(known) - 1, -1)[place]
-        w = (1 + np.log(tf)) * np.where(at >= 0, self.weight[at] if len(self.terms) else 0.0, self.new)
-        w /= np.sqrt(np.maximum(np.bincount(example, weights=w * w, minlength=n), 1e-300))[example]
-        example, at, w = example[at >= 0], at[at >= 0], w[at >= 0]
+        at = np.where(known, np.cumsum(known) - 1, -1).astype("i4")[place]
+        del every, place
+        w = (1 + np.log(tf)).astype("f4")
+        w *= np.append(self.weight, self.new).astype("f4")[at]  # -1 is the last
+        size = np.array([np.sqrt(np.square(w[i:j], dtype="f8").sum()) for i, j in zip(begin[:-1], begin[1:], strict=True)])
+        w /= np.maximum(size, 1e-30).astype("f4")[example]
         # examples with the same heaviest terms side by side make blocks whose bounds tell them apart
-        heavy = np.full(n, -1)
-        by = np.lexsort((w, example))
-        heavy[example[by]] = at[by]
+        heavy = np.array([at[i + np.argmax(w[i:j])] if j > i else -1 for i, j in zip(begin[:-1], begin[1:], strict=True)])
         order = np.lexsort((ids, heavy, y))
         self.ids, self.y = ids[order], y[order].astype("f8")
-        rank = np.empty(n, "i8")
+        rank = np.empty(n, "i4")
         rank[order] = np.arange(n)
-        example = rank[example]
-        by = np.lexsort((example, at))
+        held = at >= 0
+        example, at, w = rank[example[held]], at[held], w[held]
+        by = np.argsort(at.astype("i8") * max(n, 1) + example)
         example, at, w = example[by], at[by], w[by]
+        del by, held
         self.n, self.blocks = n, -(-n // BLOCK_EXAMPLES)
         self.wide = np.full(len(self.terms), -1, "i4")
         wide = np.flatnonzero(df > self.blocks)
@@ -244,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     if not len(y) or y.min() == y.max():
         return empty
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in got.column(name).to_pylist()])
-    index = Index(got.column("id").to_numpy(), y, np.concatenate([[0], np.cumsum(got.column("n").to_numpy())]), join("term", "u8"), join("tf", "u4").astype("f8"))
+    index = Index(got.column("id").to_numpy(), y, np.concatenate([[0], np.cumsum(got.column("n").to_numpy())]), join("term", "u8"), join("tf", "u4"))
     del got
     shared = spark.sparkContext.broadcast(index)
 
