@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ship import ship
-from .storage import join_groups, own_folder, saved, small_or_shuffled
+from .storage import join_groups, own_folder, saved, size_estimate, small_or_shuffled
 
 #: Payloads of at least so many bytes are stored once.
 LEAST_SHARED = 1000
@@ -199,6 +199,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = join_groups(many, groups, "key", total).select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     joined = joined.union(few.select("id", "url", "html", F.lit(None).cast("bigint").alias("refers_to")))
+    # many small partitions share an archive, as long as every core has work
+    joined = joined.coalesce(max(pages.sparkSession.sparkContext.defaultParallelism, min(size_estimate(pages), 1 << 50) // ARCHIVE_BYTES + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
