@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import brand_number, descending_places, joined_by, log2_floor, next_pow_2, text_between, wrap64_sum
 from ..operators import asymmetric_ids, histogram, join_summary, late_materialised_join, max_partition, prefix_sum, salted_join, split_join, two_pass_ids
 from ..operators.joins import STRATEGIES
-from ..sources import read_table
+from ..sources import read_fixed, read_table, write_fixed
 from . import workloads
 from .tpch import Q19_BRANCHES, TPCH_STRATEGIES, q14, q14_lineitem, q19, q19_lineitem, q19_part
 
@@ -230,6 +232,23 @@ for _theta in (1.05, 1.25, 1.5, 1.75):
     _gen("gen_zipf" if _theta == 1.25 else f"gen_zipf_{round(100 * _theta)}", _sum_sql(_R, _ROWS.format(key=_sql_key)), theta=_theta)
 _gen("gen_zipf_gray", _sum_sql(_R, _ROWS.format(key=workloads.gray_key_sql(workloads.Workload("zipf_gray", **_W, theta=0.75), "range", "duckdb"))), theta=0.75)
 
+# --- fixed-width relations -----------------------------------------------------------------------
+def _fixed(sp: SparkSession, d: str) -> DataFrame:
+    """Customers and orders as fixed-width relations in the shared folder, read back and joined."""
+    shared = sp.conf.get("spark.checkpoint.dir", None) or sp.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/relations-{uuid.uuid4().hex}"
+    if "://" in folder and not folder.startswith("file:"):
+        raise ValueError(f"{folder}: relations are written into a mounted folder")
+    local = re.sub("^file:/+", "/", folder)
+    r = _rel(sp, d, "customer", "c_custkey", "c_custkey", F.col("c_name").cast("binary").alias("payload"))
+    write_fixed(r, f"{local}/r", 64)
+    write_fixed(_orders(sp, d), f"{local}/s")
+    r, s = read_fixed(sp, f"file://{local}/r", 64), read_fixed(sp, f"file://{local}/s")
+    return r.join(s.withColumnRenamed("row_id", "s_row_id"), "key").select("key", "row_id", "s_row_id", F.rtrim(F.translate(F.col("payload").cast("string"), "\0", " ")).alias("name"))
+
+
+_add("fixed_width_join", _fixed, "SELECT c_custkey AS key, c_custkey AS row_id, o_orderkey AS s_row_id, c_name AS name FROM customer JOIN orders ON c_custkey = o_custkey")
+
 # --- scalars -------------------------------------------------------------------------------------
 _add(
     "scalar_helpers",
