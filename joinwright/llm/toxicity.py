@@ -133,7 +133,7 @@ class Index:
         sums = np.bincount(np.repeat(d * width, n) + self.example[at], weights=np.repeat(x, n) * self.value[at], minlength=rows * width).reshape(rows, width)
         x = np.zeros((rows, len(self.matrix)), "f4")
         x[doc[~narrow], self.wide[place[~narrow]]] = w[~narrow]
-        sums[:, self.n :] = -1  # beyond the last example
+        sums[:, self.n :] = -1e12  # beyond the last example
         if without is not None:
             sums[np.arange(rows), without] = -1e9
         bound = sums.reshape(rows, self.blocks, BLOCK_EXAMPLES).max(axis=2) + x @ self.most + 1e-5
@@ -241,8 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     held = saved(sample.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "text").mapInArrow(count, "id bigint, y int, n bigint, term binary, tf binary"))
     sizes = held.select("id", "y", "n", F.xxhash64("id").alias("h")).toPandas().sort_values(["h", "id", "y"])
     within = sizes[sizes["n"].cumsum() <= POSTINGS]
-    last = within["h"].max() if len(within) else None
-    held = held.filter(F.xxhash64("id") <= int(last)) if len(within) < len(sizes) and last is not None else held
+    if len(within) < len(sizes):
+        held = held.filter(F.xxhash64("id") <= int(within["h"].max())) if len(within) else held.limit(0)
     got = held.toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():

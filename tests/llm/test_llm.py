@@ -462,6 +462,16 @@ def test_toxicity_against_brute_force(spark, monkeypatch):
     assert checked > 100
 
 
+def test_terms_of_the_sample_are_bounded(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    whole = toxicity.fit(docs, labels).index.n
+    for bound, fewer in ((3000, True), (1, True), (10**7, False)):
+        monkeypatch.setattr(toxicity, "POSTINGS", bound)
+        model = toxicity.fit(docs, labels)
+        assert (model.index.n < whole) == fewer and len(model.index.value) <= bound
+        assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(docs, model).collect())
+
+
 def test_blocks_out_of_reach_are_not_read():
     rng = np.random.default_rng(3)
     n = 640
