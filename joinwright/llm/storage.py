@@ -80,13 +80,16 @@ def size_estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bucket_count(df: DataFrame, per_bucket: int = 32 << 20) -> int:
-    """Hash buckets for packed shuffles over df: in proportion to its bytes, and no fewer than the session's shuffle partitions.
+def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
+    """Hash buckets for packed shuffles over df: in proportion to its bytes, and at least two for each core.
 
-    An estimate beyond a petabyte is the optimizer's word for not knowing, as for rows that come from the driver.
+    An estimate beyond a petabyte is the optimizer's word for not knowing, as for rows that come from the driver; then there are
+    as many as the session has shuffle partitions.
     """
     size = size_estimate(df)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_bucket) if size < 1 << 50 else 1, 1)
+    if size >= 1 << 50:
+        return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(-(-size // per_bucket), 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
