@@ -14,7 +14,7 @@ from joinwright.llm.exact_dedup import exact_dedup, normalised
 from joinwright.llm.mixing import mixed_documents
 from joinwright.llm.ngram_join import ngram_jaccard_join, with_key
 from joinwright.llm.packing import pack
-from joinwright.llm.storage import own_names, quoted, saved, small_or_shuffled
+from joinwright.llm.storage import own_names, quoted, saved, small_or_shuffled, task_count
 from joinwright.llm.toxicity import fit, score_toxicity
 
 #: Toxicity scores are no SQL, so the pipeline is tested against brute force.
@@ -33,7 +33,7 @@ def one_of_each(docs: DataFrame, keyed: DataFrame, gone: DataFrame, names: list[
     keyed: docs with the columns ``names``; gone: these, and ``again``. Only keys move, but for rows that repeat.
     """
     columns = quoted(docs.columns)
-    gone = saved(gone)
+    gone = saved(gone, task_count(docs))
     left = keyed.join(small_or_shuffled(gone.filter("not again").select(*names)), names, "left_anti")
     again = gone.filter("again").select(*names)
     if again.isEmpty():
@@ -61,10 +61,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, of the least id (a null one last); documents without words all stay."""
     key, id_ = names = own_names(docs, "key", "id")
-    held = saved(ngram_jaccard_join(docs).filter("n_shingles > 0").groupBy("component", "id", "key").agg(F.count("*").alias("k")))
+    tasks = task_count(docs)
+    held = saved(ngram_jaccard_join(docs).filter("n_shingles > 0").groupBy("component", "id", "key").agg(F.count("*").alias("k")), tasks)
     best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("p"), F.sum("k").alias("rows")).filter("rows > 1")
     stays = F.col("id").eqNullSafe(F.col("p.id")) & (F.col("key") == F.col("p.key"))
-    marked = held.join(small_or_shuffled(saved(best)), "component").filter(~stays | (F.col("k") > 1))
+    marked = held.join(small_or_shuffled(saved(best, tasks)), "component").filter(~stays | (F.col("k") > 1))
     gone = marked.select(id_text(F.col("id")).alias(id_), F.col("key").alias(key), stays.alias("again"))
     return one_of_each(docs, with_key(docs, key).withColumn(id_, id_text(F.col("doc_id"))), gone, names)
 

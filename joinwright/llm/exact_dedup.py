@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, GROUPS, saved, small_or_shuffled
+from .storage import BROADCAST_ROWS, GROUPS, saved, small_or_shuffled, task_count
 
 #: Characters that do not count: space and \t \n \v \f \r.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -34,16 +36,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts are one group. A null id sorts after all others. Of rows that repeat id and text,
     exactly one is kept. Other columns are not read; an empty table gives an empty table.
     """
+    keep = partial(saved, tasks=task_count(docs))
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("norm", normalised(text)).withColumn("size", F.octet_length("norm"))
     # length: only rows that share one have a prefix hashed
-    lengths = saved(rows.groupBy("size").agg(F.count("*").alias("n")))
+    lengths = keep(rows.groupBy("size").agg(F.count("*").alias("n")))
     total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = lengths.filter("n > 1").select("size")
     start = F.substring("norm", 1, PREFIX).alias("start")
     heads = rows.select("size", start).join(small_or_shuffled(shared), "size", "left_semi").select("size", F.xxhash64("start").alias("head"))
     # prefix: only rows that share length and prefix have their content hashed
-    left = saved(heads.groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("size", "head"))
+    left = keep(heads.groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("size", "head"))
     few = left.count() <= BROADCAST_ROWS
     digest = F.sha2(F.col("norm").cast("binary"), 256)
     points = F.char_length(F.coalesce(text, F.lit(""))).alias("points")
@@ -53,11 +56,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = known.join(left.withColumn("survives", F.lit(True)).hint("broadcast") if few else left.withColumn("survives", F.lit(True)), ["size", "head"], "left")
     sha = digest if few else F.col("text_sha256")
     full = known.select("id", "points", "survives", (sha if hash_all else F.when(F.col("survives"), sha)).alias("text_sha256"))
-    full = saved(full.withColumn("row", F.monotonically_increasing_id()))
+    full = keep(full.withColumn("row", F.monotonically_increasing_id()))
     # the number of the row only tells rows apart that agree in everything else
     order = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
     among = full.filter("survives")
-    groups = saved(among.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("text_sha256", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")))
+    groups = keep(among.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("text_sha256", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")))
     large = F.col("group_size") >= max(2, total // GROUPS)
     big = groups.filter(large).hint("broadcast")
     # a row of no large group meets the others by its digest; one whose digest is unique is among neither's partners

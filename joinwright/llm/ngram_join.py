@@ -26,7 +26,8 @@ broadcast is bounded by constants: FREQUENT shingles, and a filter of FILTER bit
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .ship import ship
-from .storage import bucket_count, discard, saved, small_or_shuffled
+from .storage import bucket_count, discard, saved, small_or_shuffled, task_count
 from .words import blocks, constants, distinct, find_words, mix, packed, shingles
 
 #: Lists of so many entries are compared entry by entry where they meet; longer ones go by blocks.
@@ -312,7 +313,7 @@ def _band(x: Column) -> Column:
     return F.floor(F.log(x.cast("double")) / float(np.log(BAND))).cast("int")
 
 
-def met(entries: DataFrame) -> DataFrame:
+def met(entries: DataFrame, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """``a, b, n, m, w``: classes of different parts that meet within each other's reach in a list; entries: token, key, size, pos, part.
 
     Entries of a list form blocks of one part and of a band of sizes and of reaches. A block of reach under its sizes is
@@ -322,7 +323,7 @@ def met(entries: DataFrame) -> DataFrame:
     held = entries.withColumn("far", F.floor((4 * F.col("size") - 7 * F.col("pos")) / 3).cast("bigint")).filter("far > 0")
     held = held.withColumn("s", _band(F.col("size"))).withColumn("f", _band(F.col("far")))
     block = ["token", "part", "s", "f"]
-    cells = saved(held.groupBy(*block).agg(F.min("size").alias("least"), F.max("far").alias("most")))
+    cells = keep(held.groupBy(*block).agg(F.min("size").alias("least"), F.max("far").alias("most")))
     small = cells.filter("f >= s").withColumn("t", F.explode(F.sequence("s", "f")))
     of = lambda df, x: df.select(*[F.col(c).alias(f"{x}{c}") for c in df.columns])
     near = of(small, "y").join(of(cells, "x"), (F.col("ytoken") == F.col("xtoken")) & (F.col("yt") == F.col("xs"))).filter("ypart <> xpart and yleast <= xmost and xleast <= ymost")
@@ -338,8 +339,8 @@ def met(entries: DataFrame) -> DataFrame:
 class _Join:
     """The state of one run: which pairs are verified, and what is connected."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame):
-        self.texts, self.classes = texts, classes
+    def __init__(self, texts: DataFrame, classes: DataFrame, keep: Callable[[DataFrame], DataFrame]):
+        self.texts, self.classes, self.keep = texts, classes, keep
 
     def near(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, n, m, w as keys and sizes, of the pairs a, b, w that sizes and bitmaps allow; a and b are ``name``: keys, or their first 64 bits.
@@ -348,22 +349,22 @@ class _Join:
         """
         of = lambda k, n, x: self.classes.select(F.col(name).alias(k), F.col("key").alias(f"k{k}"), F.col("n_shingles").alias(n), F.col("bits").alias(x))
         both = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
-        return saved(both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n", "m", "w", "x", "y").mapInArrow(_close, "a binary, b binary, n bigint, m bigint, w bigint"))
+        return self.keep(both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n", "m", "w", "x", "y").mapInArrow(_close, "a binary, b binary, n bigint, m bigint, w bigint"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """pairs with their overlap, on full sets; the sets of no other classes leave the scan, but for a few by chance."""
         spark = self.texts.sparkSession
-        wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        wanted = self.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
         bit = F.crc32("key") % FILTER
         words = wanted.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(crc32(key) % {FILTER} % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         bits = np.zeros(FILTER // 64, "i8")
         bits[words.column("word").to_numpy()] = words.column("mask").to_numpy()
         filtered = spark.sparkContext.broadcast(bits.view("u1"))
         sets = self.texts.mapInArrow(_class_sets(filtered), "key binary, held binary").join(small_or_shuffled(wanted), "key", "left_semi")
-        sets = saved(sets.dropDuplicates(["key"]))
+        sets = self.keep(sets.dropDuplicates(["key"]))
         filtered.unpersist()
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
-        done = saved(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_overlaps, "a binary, b binary, n bigint, m bigint, overlap bigint"))
+        done = self.keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_overlaps, "a binary, b binary, n bigint, m bigint, overlap bigint"))
         discard(sets, wanted)
         return done
 
@@ -400,28 +401,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     buckets = bucket_count(docs)
-    summary = saved(rows.mapInArrow(_summaries(buckets), "id bigint, n_shingles bigint, key binary, cls bigint, bits binary, bucket bigint, often binary"))
+    keep = partial(saved, tasks=task_count(docs))
+    summary = keep(rows.mapInArrow(_summaries(buckets), "id bigint, n_shingles bigint, key binary, cls bigint, bits binary, bucket bigint, often binary"))
     held = summary.filter("often is null").select("id", "n_shingles", "key", "cls", "bits")
-    counts = saved(summary.filter("often is not null").select("bucket", "often").groupBy("bucket").applyInPandas(_summed, "token bigint, n bigint"))
+    counts = keep(summary.filter("often is not null").select("bucket", "often").groupBy("bucket").applyInPandas(_summed, "token bigint, n bigint"))
     frequent = spark.sparkContext.broadcast(_order(counts))
     discard(counts)
 
     entries = texts.mapInArrow(_prefixes(buckets, frequent), "bucket bigint, blob binary")
-    found = saved(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, w bigint, token bigint"))
+    found = keep(entries.groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, w bigint, token bigint"))
     frequent.unpersist()
     lists = found.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("b").alias("size"), F.col("w").alias("pos"))
     classes = held.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("cls").alias("cls"), F.first("bits").alias("bits"), F.min("id").alias("id"))
-    classes = saved(classes)
-    state = _Join(texts, classes)
+    classes = keep(classes)
+    state = _Join(texts, classes, keep)
     if pairs:
         own = classes.select("cls", "key", F.col("key").alias("part"))
         short = state.near(found.filter("token is null").select("a", "b", "w"), "cls")
-        every = short.union(state.near(met(lists.join(own, "cls")).select("a", "b", "w"), "key"))
-        return _linked(state.verify(saved(every.select("a", "b", "n", "m").distinct())))
+        every = short.union(state.near(met(lists.join(own, "cls"), keep).select("a", "b", "w"), "key"))
+        return _linked(state.verify(keep(every.select("a", "b", "n", "m").distinct())))
 
     # each class of a long list with its leaders, of its own band of sizes and of the two beside it
     central = lists.groupBy("cls").agg(F.count("*").alias("lists"))
-    banded = saved(lists.join(central, "cls").select("token", "cls", "size", "lists", F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3))).alias("band")))
+    banded = keep(lists.join(central, "cls").select("token", "cls", "size", "lists", F.floor(F.log(F.col("size").cast("double")) / float(np.log(4 / 3))).alias("band")))
     leader = banded.groupBy("token", "band").agg(F.max(F.struct("lists", "cls", "size")).alias("p"))
     leader = leader.select("token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("p.cls").alias("l"), F.col("p.size").alias("ls"))
     star = banded.join(leader, ["token", "band"]).filter("l <> cls and 4 * least(size, ls) >= 3 * greatest(size, ls)")
@@ -429,25 +431,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = state.near(found.filter("token is null").select("a", "b", "w").union(star).groupBy("a", "b").agg(F.sum("w").alias("w")), "cls")
     done = state.verify(first)
     discard(banded)
-    component = components(_linked(done))
+    component = components(_linked(done), keep)
 
     # lists that are not yet one component
-    of = saved(classes.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select("cls", "key", "id", F.coalesce("component", "key").alias("part")))
-    parted = saved(lists.join(of.drop("id"), "cls"))
+    of = keep(classes.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select("cls", "key", "id", F.coalesce("component", "key").alias("part")))
+    parted = keep(lists.join(of.drop("id"), "cls"))
     open_ = parted.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
-    rest = saved(state.derived(met(parted.join(open_, "token", "left_semi")), done))
+    rest = keep(state.derived(met(parted.join(open_, "token", "left_semi"), keep), done))
     needed = F.ceil(3 * (F.col("n") + F.col("m")) / 7)
     derived = rest.filter(F.col("low") >= needed).select("a", "b")
     asked = state.near(rest.filter((F.col("low") < needed) & (F.col("high") >= needed)).select("a", "b", "w"), "key")
     more = derived if asked.isEmpty() else derived.union(_linked(state.verify(asked)))
     # the links found last join whole components, so only components are connected anew
     name = lambda k: of.select(F.col("key").alias(k), F.col("part").alias(f"p{k}"))
-    again = components(more.join(name("a"), "a").join(name("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    again = components(more.join(name("a"), "a").join(name("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), keep)
     again = again.select(F.col("node").alias("part"), F.col("component").alias("joined"))
     grouped = of.join(small_or_shuffled(again), "part", "left").select("key", "id", F.coalesce("joined", "part").alias("component"))
-    grouped = saved(grouped)
+    grouped = keep(grouped)
     named = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = saved(grouped.select("key", "component").join(named, "component").select("key", "component_id", "component"))
+    named = keep(grouped.select("key", "component").join(named, "component").select("key", "component_id", "component"))
     discard(parted, rest, asked, grouped)
     filled = held.filter("n_shingles > 0").join(small_or_shuffled(named), "key", "left")
     empty = held.filter("n_shingles = 0")

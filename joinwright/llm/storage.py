@@ -42,8 +42,12 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/joinwright-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Computes df once, and returns it as read from the shared folder: a lost executor costs no recomputation upstream."""
+def saved(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Computes df once, and returns it as read from the shared folder: a lost executor costs no recomputation upstream.
+
+    With ``tasks`` it is written by so many at most: small tables in hundreds of partitions would be hundreds of files.
+    """
+    df = df.coalesce(tasks) if tasks else df
     path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -92,6 +96,15 @@ def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     return max(-(-size // per_bucket), 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+#: Bytes of input that a task is given at least, where there are more tasks than four for each core.
+TASK_BYTES = 16 << 20
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks enough for tables that are no larger than df: four for each core, or one for TASK_BYTES."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, min(size_estimate(df), 1 << 50) // TASK_BYTES)
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most ``limit`` rows, else as it is (a shuffled join)."""
     return df.hint("broadcast") if df.limit(limit + 1).count() <= limit else df
