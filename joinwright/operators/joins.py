@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import radix_id, wrap64_sum
 
-#: A build side is broadcast up to this size by the optimizer's own estimate; beyond it the join is shuffled.
+#: A build side is broadcast if its hash table has this size at most; beyond it the join is shuffled.
 BROADCAST_LIMIT = 64 << 20
+#: Bytes of a row (a key and a row id) in that table: 24, a link of 8, and up to 64 of slots, in arrays that double as they grow.
+TABLE_ROW = 128
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ def strategy(name: str | Strategy) -> Strategy:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan, an over-estimate where it has no statistics."""
+    """The optimizer's size estimate of a plan: an over-estimate where it has no statistics, an under-estimate of compressed files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -83,7 +85,8 @@ def first_per_key(r: DataFrame) -> DataFrame:
 
 def _hinted(r: DataFrame, s: Strategy, limit: int) -> DataFrame:
     hint = s.hint
-    if hint == "broadcast" and estimated_bytes(r) > limit:
+    # the estimate is of compressed files, so rows are counted where it lets them through
+    if hint == "broadcast" and (estimated_bytes(r) > limit or r.count() * TABLE_ROW > limit):
         hint = "shuffle_hash"
     return r.hint(hint)
 

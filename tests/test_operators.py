@@ -37,6 +37,20 @@ def test_broadcast_falls_back_beyond_its_limit(spark):
     assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
 
 
+@pytest.mark.parametrize("how", ["nphj_sc"])
+def test_rows_of_compressed_files_are_counted_before_a_broadcast(spark, tmp_path, how):
+    from joinwright.operators.joins import estimated_bytes
+
+    spark.range(20_000).select((F.col("id") % 10).alias("key"), F.col("id").alias("row_id")).write.parquet(str(tmp_path / "r"))
+    r, s = spark.read.parquet(str(tmp_path / "r")), rel(spark, (3, 7))
+    limit = 1 << 20
+    assert estimated_bytes(r) < limit
+    assert "BroadcastHashJoin" not in join_pairs(r, s, how, broadcast_limit=limit)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in join_pairs(r, s, how)._jdf.queryExecution().executedPlan().toString()
+    got = join_summary(r, s, how, broadcast_limit=limit).first()
+    assert (got.matched_cnt, got.check_sum) == (2000, sum(range(3, 20_000, 10)) + 2000 * 7)
+
+
 @pytest.mark.parametrize("how", ["broadcast", "shuffle_hash", "merge", "phj_radix_lp", "ptr_phj_radix_bc"])
 def test_edges(spark, how):
     none = spark.createDataFrame([], REL)
