@@ -37,7 +37,7 @@ def test_broadcast_falls_back_beyond_its_limit(spark):
     assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
 
 
-@pytest.mark.parametrize("how", ["nphj_sc"])
+@pytest.mark.parametrize("how", ["nphj_sc", "ptr_nphj_sc"])
 def test_rows_of_compressed_files_are_counted_before_a_broadcast(spark, tmp_path, how):
     from joinwright.operators.joins import estimated_bytes
 
