@@ -1,4 +1,4 @@
-"""Unsigned 64-bit wrap-around sums under ANSI arithmetic."""
+"""Unsigned 64-bit wrap-around addition and sums under ANSI arithmetic."""
 
 from __future__ import annotations
 
@@ -15,6 +15,14 @@ def wrap64(total: Column) -> Column:
     return F.pmod(total, F.expr("18446744073709551616BD")).cast("decimal(20,0)")
 
 
+def wrap64_add(a: Column, b: Column) -> Column:
+    """a + b of bigint columns modulo 2^64, as the bigint of the same bits; plain addition fails beyond 2^63 under ANSI arithmetic."""
+    half = F.lit((1 << 32) - 1).cast("bigint")
+    low = a.bitwiseAND(half) + b.bitwiseAND(half)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(half))
+
+
 def wrap64_sum(*cols: Column | str) -> Column:
     """``SUM(c1 + c2 + ...) mod 2^64`` of bigint columns read as unsigned; 0 for no rows. A row with a null among them doesn't count.
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import brand_number, descending_places, joined_by, log2_floor, next_pow_2, text_between, wrap64_sum
+from ..functions import brand_number, descending_places, joined_by, log2_floor, next_pow_2, text_between, wrap64_add, wrap64_sum
 from ..operators import asymmetric_ids, histogram, join_summary, late_materialised_join, max_partition, prefix_sum, salted_join, split_join, two_pass_ids
 from ..operators.joins import STRATEGIES
 from ..sources import read_fixed, read_table, write_fixed
@@ -159,7 +159,7 @@ _add("skew_salted_join", lambda sp, d: _summary(salted_join(*_skewed(sp, d), hot
 BIG = 9223372036854000000
 _add(
     "join_wraparound",
-    lambda sp, d: join_summary(*(x.withColumn("row_id", F.col("row_id") + F.lit(BIG).cast("bigint")) for x in (_customer(sp, d), _orders(sp, d)))),
+    lambda sp, d: join_summary(*(x.withColumn("row_id", wrap64_add(F.col("row_id"), F.lit(BIG).cast("bigint"))) for x in (_customer(sp, d), _orders(sp, d)))),
     _sum_sql(f"SELECT c_custkey AS key, c_custkey + {BIG} AS row_id FROM customer", f"SELECT o_custkey AS key, o_orderkey + {BIG} AS row_id FROM orders"),
 )
 

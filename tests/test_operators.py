@@ -5,7 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from joinwright.functions import brand_number, next_pow_2, wrap64_sum
+from joinwright.functions import brand_number, next_pow_2, wrap64_add, wrap64_sum
 from joinwright.operators import STRATEGIES, first_per_key, join_pairs, join_summary, max_partition, partition_by_radix, salted_join, split_join, strategy
 from joinwright.plans import registry, workloads
 from joinwright.plans.tpch import q14, q19
@@ -77,6 +77,21 @@ def test_checksum_wraps(spark):
     assert got == (6 * big) % (1 << 64)
 
 
+def test_addition_wraps(spark):
+    values = [0, 1, -1, 5_000_000, (1 << 32) - 1, 1 << 32, registry.BIG, (1 << 63) - 1, -(1 << 63)]
+    rows = [(a, b) for a in values for b in values]
+    got = spark.createDataFrame([*rows, (None, 1)], "a bigint, b bigint").select("a", "b", wrap64_add(F.col("a"), F.col("b")).alias("c")).collect()
+    assert all((r.c is None) if r.a is None else ((r.c - r.a - r.b) % (1 << 64) == 0) for r in got)
+
+
+def test_wraparound_join_takes_ids_beyond_the_range(spark, tmp_path):
+    ids = [1, 775_807, 775_808, 5_000_000]
+    spark.createDataFrame([(i,) for i in ids], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i + 1, i) for i in ids], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.QUERIES["join_wraparound"](spark, str(tmp_path)).first()
+    assert tuple(got) == (4, sum(2 * i + 1 + 2 * registry.BIG for i in ids) % (1 << 64))
+
+
 def test_checksum_leaves_out_rows_with_nulls(spark):
     assert spark.createDataFrame([(1, 2), (None, 5), (7, None)], "a bigint, b bigint").agg(wrap64_sum("a", "b").alias("c")).first().c == 3
 
