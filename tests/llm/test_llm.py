@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import struct
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -614,6 +617,25 @@ def test_context_counts_are_of_the_whole_corpus(spark):
         assert known["n"][np.searchsorted(known["key"], key[-1])].tolist() == [want[s] for s in spots]
 
 
+def test_spelling_learns_from_every_word_that_training_has_once(spark, monkeypatch):
+    cm = context_mixing
+    words = sorted({f"w{i * 7919 % 1000:03}{'x' * (i % 5)}".encode() for i in range(400)})
+    e = np.zeros(len(words), cm.TOKEN)
+    e["key"], e["length"] = cm.mix(np.arange(len(words), dtype="u8")), [len(w) for w in words]
+    e["train"] = e["all"] = np.arange(len(words)) % 4
+    e["all"] += 1
+    once = sum(len(w) + 1 for w in itertools.islice(words, 1, None, 4))
+    rows = [(k, e[k::3].tobytes(), b"".join(words[k::3])) for k in range(3)]
+    ready = cm.with_contexts(spark.createDataFrame(rows, "bucket bigint, fixed binary, spelled binary"), 3)
+    mixer = cm.fit(ready)
+    assert mixer.seen.sum() - cm.Mixer([]).seen.sum() == 8 * once
+    # every bucket sends as many candidates as the table of frequent tokens may hold
+    monkeypatch.setattr(cm, "FREQUENT", 16)
+    shares = cm.Shares(int(e["train"].sum()), int((e["train"] > 0).sum()), [int((e["train"] == k).sum()) for k in range(1, 5)])
+    sent = pa.Table.from_batches(list(cm._valued(types.SimpleNamespace(value=mixer), shares)(iter(ready.toArrow().to_batches()))))
+    assert all(len(x) == 16 * cm.VALUE.itemsize for x in sent.column("top").to_pylist())
+
+
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     """One mixer learns from all training words, however they are dealt to buckets."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
