@@ -909,6 +909,15 @@ def test_pipeline(spark, library):
     assert sum(r.length for r in rows) == sum((len(i) + 1) * copies[d] for d, i in zip(text, library_ids(library, text.values()), strict=True) if d in copies)
 
 
+def test_saved_tables_trim_the_drivers_native_memory(spark, monkeypatch):
+    from joinwright.llm import storage
+
+    assert storage.trim(spark)
+    done, trim = [], storage.trim
+    monkeypatch.setattr(storage, "trim", lambda s: done.append(trim(s)))
+    assert storage.saved(spark.range(3)).count() == 3 and done == [True]
+
+
 def test_toxicity_stage_without_labels(spark, tmp_path):
     import corpus_pipeline as p
 
