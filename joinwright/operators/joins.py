@@ -18,6 +18,8 @@ from ..functions import radix_id, wrap64_sum
 BROADCAST_LIMIT = 64 << 20
 #: Bytes of a row (a key and a row id) in that table: 24, a link of 8, and up to 64 of slots, in arrays that double as they grow.
 TABLE_ROW = 128
+#: Beyond this size of all its hash tables together, a build side that isn't broadcast is merged: a hash table of a partition can't spill, a sort can.
+HASH_LIMIT = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -84,11 +86,12 @@ def first_per_key(r: DataFrame) -> DataFrame:
 
 
 def _hinted(r: DataFrame, s: Strategy, limit: int) -> DataFrame:
-    hint = s.hint
-    # the estimate is of compressed files, so rows are counted where it lets them through
-    if hint == "broadcast" and (estimated_bytes(r) > limit or r.count() * TABLE_ROW > limit):
-        hint = "shuffle_hash"
-    return r.hint(hint)
+    if s.hint != "broadcast":
+        return r.hint(s.hint)
+    size = r.count() * TABLE_ROW  # the estimate is of compressed files, so rows are counted
+    if estimated_bytes(r) <= limit and size <= limit:
+        return r.hint("broadcast")
+    return r.hint("shuffle_hash" if size <= HASH_LIMIT else "merge")
 
 
 def radix_placed(df: DataFrame, bits: int) -> DataFrame:

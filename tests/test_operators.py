@@ -51,6 +51,19 @@ def test_rows_of_compressed_files_are_counted_before_a_broadcast(spark, tmp_path
     assert (got.matched_cnt, got.check_sum) == (2000, sum(range(3, 20_000, 10)) + 2000 * 7)
 
 
+def test_large_sides_are_merged_and_rows_fetched_without_a_broadcast(spark, monkeypatch):
+    from joinwright.operators import joins, late_materialised_join
+
+    r, s = rel(spark, *((k % 50, k) for k in range(500))), rel(spark, (3, 7))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = late_materialised_join(r, s)
+    assert "BroadcastHashJoin" not in plan(rows) and rows.count() == 10
+    monkeypatch.setattr(joins, "HASH_LIMIT", 400 * joins.TABLE_ROW)
+    merged = join_summary(r, s, "ptr_nphj_sc", broadcast_limit=0)
+    assert not {x for x in ("BroadcastHashJoin", "ShuffledHashJoin") if x in plan(merged)}
+    assert merged.first()[:] == (10, sum(range(3, 500, 50)) + 10 * 7)
+
+
 @pytest.mark.parametrize("how", ["broadcast", "shuffle_hash", "merge", "phj_radix_lp", "ptr_phj_radix_bc"])
 def test_edges(spark, how):
     none = spark.createDataFrame([], REL)
