@@ -636,6 +636,38 @@ def test_spelling_learns_from_every_word_that_training_has_once(spark, monkeypat
     assert all(len(x) == 16 * cm.VALUE.itemsize for x in sent.column("top").to_pylist())
 
 
+def test_spelling_sums_bits_that_are_alike_once(spark):
+    """Words that begin alike give the same sums as bit by bit, and contexts travel and lie in fewer bytes than as records."""
+    cm = context_mixing
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))).encode() for _ in range(3000)})
+    e = np.zeros(len(words), cm.TOKEN)
+    e["key"], e["length"], e["train"] = cm.mix(np.arange(len(words), dtype="u8")), [len(w) for w in words], [rng.choice((0, 1, 1, 2)) for _ in words]
+    table = spark.createDataFrame([(k, e[k::3].tobytes(), b"".join(words[k::3])) for k in range(3)], "bucket bigint, fixed binary, spelled binary")
+    plain = {r.bucket: r for r in cm.with_contexts(table, 3).collect()}
+    packed = cm.with_contexts(table, 3, name="dense")
+    mixer = types.SimpleNamespace(value=cm.Mixer([]))
+    slopes, places = np.zeros((cm.GATES, 43)), np.zeros((2, 256, 33))
+    for batch in packed.toArrow().to_batches():
+        for bucket, _, spelled, text, known in cm._bucket_rows(iter([batch])):
+            raw = plain[bucket].follows
+            assert known.tobytes() == raw and len(cm.dense(known)) < 0.6 * len(raw)
+            for _, part, chars, index in cm._indexed(*cm.only(spelled["train"] == 1, spelled, text), known):
+                own, bits = cm.Mixer([index.table] * cm.PREDICTORS), 0
+                for _, node, bit, slots in cm.events(part, chars, index):
+                    x, gate = own.inputs(slots, bit, 1)
+                    one = np.ones(len(bit))
+                    slopes += own.slopes(x, gate, bit, one)
+                    places += own.places(x, gate, node, bit, one)
+                    bits += len(bit)
+                assert sum(len(bit) for _, _, bit, _ in cm.alike(part, chars, index)) < 0.8 * bits
+    for want, last in ((slopes, False), (places, True)):
+        got = sum(np.frombuffer(r.sums) for r in packed.mapInArrow(cm._training_sums(mixer, last), "sums binary").collect())
+        assert np.allclose(got, want.ravel(), rtol=1e-9, atol=1e-6)
+    for r in (e, e[:1], e[:0], e["key"].copy()):
+        assert cm.records(cm.dense(r), r.dtype).tobytes() == r.tobytes()
+
+
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     """One mixer learns from all training words, however they are dealt to buckets."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
