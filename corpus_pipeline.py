@@ -86,5 +86,5 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("ngram_jaccard
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = saved(stage(spark, docs, sf_dir), task_count(docs))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import own_names, quoted, saved, small_or_shuffled
+from .storage import own_names, quoted, saved, small_or_shuffled, task_count
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, see
     read. An empty table gives an empty one.
     """
     text = F.col(text_col).cast("string")
-    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text).alias("size"), coin(F.col(id_col), seed, text).alias("coin")))
+    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_size(text).alias("size"), coin(F.col(id_col), seed, text).alias("coin")), task_count(docs))
     rates = saved(source_rates(sized, weights, most)).withColumnRenamed("source", "of")
     joined = sized.join(small_or_shuffled(rates), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     copies = F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("bigint")

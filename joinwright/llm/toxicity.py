@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled, sampled
 from .ship import ship
-from .storage import saved
+from .storage import saved, task_count
 from .words import blocks, distinct, find_words, hash_spans, mix
 
 #: Bounds of the labelled sample: examples, half of either class where there are enough, and terms of all examples together.
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
                 blobs = lambda x, cut=cut: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("y").slice(at, to - at), pa.array(np.diff(cut)), blobs(term), blobs(tf.astype("u4"))], names=["id", "y", "n", "term", "tf"])
 
-    held = saved(sample.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "text").mapInArrow(count, "id bigint, y int, n bigint, term binary, tf binary"))
+    held = saved(sample.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "text").mapInArrow(count, "id bigint, y int, n bigint, term binary, tf binary"), task_count(docs))
     sizes = held.select("id", "y", "n", F.xxhash64("id").alias("h")).toPandas().sort_values(["h", "id", "y"])
     within = sizes[sizes["n"].cumsum() <= POSTINGS]
     if len(within) < len(sizes):

@@ -950,6 +950,40 @@ def test_saved_tables_trim_the_drivers_native_memory(spark, monkeypatch):
     assert storage.saved(spark.range(3)).count() == 3 and done == [True]
 
 
+def test_small_tables_are_few_files_and_executors_shrink_before_them(spark, monkeypatch):
+    from joinwright.llm import labelled, storage
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert storage.task_count(docs) == cores  # was four times as many
+    parts, merged = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (parts, merged)}
+    called = []
+    monkeypatch.setattr(storage, "shrink", lambda s: called.append(1))
+    try:
+        spark.conf.set(parts, 211)
+        spark.conf.set(merged, "false")
+        known = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("y"))
+        sample = labelled.sampled(docs, known, "doc_id", "text")
+        assert len(sample.inputFiles()) <= cores and called
+        assert sample.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_shrink_asks_each_executor_once_in_a_while(monkeypatch):
+    from joinwright.llm import storage
+
+    asked = []
+    frame = types.SimpleNamespace(selectExpr=lambda e: types.SimpleNamespace(collect=lambda: asked.append(e)))
+    status = types.SimpleNamespace(getExecutorMemoryStatus=lambda: types.SimpleNamespace(size=lambda: 4))
+    context = types.SimpleNamespace(applicationId="no application", _jsc=types.SimpleNamespace(sc=lambda: status))
+    fake = types.SimpleNamespace(sparkContext=context, range=lambda a, b, step, n: frame if (a, b, step, n) == (0, 3, 1, 3) else None)
+    monkeypatch.setattr(storage, "_shrunk", {})
+    assert [storage.shrink(fake), storage.shrink(fake)] == [3, 0] and len(asked) == 1
+
+
 def test_toxicity_stage_without_labels(spark, tmp_path):
     import corpus_pipeline as p
 
