@@ -984,6 +984,35 @@ def test_shrink_asks_each_executor_once_in_a_while(monkeypatch):
     assert [storage.shrink(fake), storage.shrink(fake)] == [3, 0] and len(asked) == 1
 
 
+def test_lookups_of_hashes_are_those_of_numpy():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3000):
+        h = rng.integers(0, 2**64, max(n // 3, 1), dtype="u8")
+        h = rng.choice(h, n)
+        table = np.unique(np.concatenate([h[::2], rng.integers(0, 2**64, 500, dtype="u8")]))
+        assert (words.unique(h) == np.unique(h)).all() and (words.find(table, h) == np.searchsorted(table, h)).all()
+        order = words.stable_order(h)
+        groups = [np.flatnonzero(h == x).tolist() for x in np.unique(h)]
+        assert sorted(groups) == sorted(list(g) for _, g in itertools.groupby(order.tolist(), key=lambda i: h[i]))
+        n_of = rng.integers(1, 9, n)
+        for given, want in ((n_of, [n_of[g].sum() for g in groups]), (None, [len(g) for g in groups])):
+            r = context_mixing._summed(h, given)
+            assert r["key"].tolist() == np.unique(h).tolist() and r["n"].tolist() == want
+    close = np.array([5, 4, 5, 7, 4, 4], "u8")  # these differ in no bits but those of places
+    assert words.stable_order(close).tolist() == [1, 4, 5, 0, 2, 3]
+
+
+@pytest.mark.parametrize("crowd", [0, 20, 500])
+def test_frequent_codes_where_keys_share_their_first_bits(crowd):
+    rng = np.random.default_rng(6)
+    key = np.unique(np.concatenate([rng.integers(0, 2**64, 4000, dtype="u8"), np.arange(crowd, dtype="u8"), np.array([2**64 - 1], "u8")]))
+    top = pa.table({"key": rng.permutation(key).view("i8"), "count": np.arange(len(key)), "score": np.zeros(len(key))})
+    f = context_mixing.Frequent(top)
+    assert f.even == (crowd < 30) and (f.codes(key) == np.arange(len(key))).all()
+    others = np.setdiff1d(np.concatenate([key + np.uint64(1), key - np.uint64(1)]), key)
+    assert (f.codes(others) == context_mixing.FREQUENT).all()
+
+
 def test_toxicity_stage_without_labels(spark, tmp_path):
     import corpus_pipeline as p
 
